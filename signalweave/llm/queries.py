@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from . import media, packing, wordpiece
+from . import decontaminate, licenses, media, neardup, packing, suffix, urls, warc, wordpiece
 
 QUERIES = {
+    "op1_minhash_neardup": neardup.op1_minhash_neardup,
     "op2_media_columns": media.op2_media_columns,
     "op3_packing": packing.op3_packing,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_url_filters": urls.op6_url_filters,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
+    "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_token_counts": wordpiece.op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_neardup": neardup.OP1_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
+    "op6_url_filters": urls.OP6_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
+    "op9_warc_revisits": warc.OP9_SQL,
+}
