@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, neardup, packing, suffix, urls, warc, wordpiece
+from . import decontaminate, licenses, media, neardup, packing, quality, suffix, urls, warc, wordpiece
 
 QUERIES = {
     "op1_minhash_neardup": neardup.op1_minhash_neardup,
     "op2_media_columns": media.op2_media_columns,
     "op3_packing": packing.op3_packing,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_url_filters": urls.op6_url_filters,
     "op7_suffix_dedup": suffix.op7_suffix_dedup,
