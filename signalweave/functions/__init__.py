@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: strings, identifiers, dates, vectors, hashes."""
