@@ -2,51 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Text bytes handled at once by the Python stages, so that memory stays bounded whatever a batch holds.
-CHUNK_BYTES = 1 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='signalweave-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
+from signalweave.storage import Scratch, broadcast_if_small, shared_dir, table
 
-class Scratch:
-    """Written tables that cut lineage; they outlive lost executors and go when the application ends."""
+__all__ = ["CHUNK_BYTES", "Scratch", "broadcast_if_small", "chunks", "lower_ascii", "shared_dir", "table", "text_bytes"]
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table once and go on from the files."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        """Free a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Text bytes handled at once by the Python stages, so that memory stays bounded whatever a batch holds.
+CHUNK_BYTES = 1 << 20
 
 
 #: The ASCII capitals and what they become.
@@ -74,8 +41,3 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
             held, first, size = [], i + 1, 0
     if held:
         yield first, held
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only after counting; beyond ``rows`` the join is left to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

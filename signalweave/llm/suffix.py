@@ -28,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, table, text_bytes
+from .common import CHUNK_BYTES, Scratch, broadcast_if_small, table, text_bytes
 
 #: Bytes of a repeated string; the least of a q-gram that first buckets are made of; parts of a run of starts in each round.
 LENGTH, LEAST_GRAM, FAN = 400, 50, 7
 
+#: Texts up to which those with repeated q-grams are found by a broadcast of their hashes.
+BROADCAST_TEXTS = 1_000_000
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -180,22 +183,21 @@ def _kept(docs: DataFrame, length: int, want_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "tx", "spans").mapInArrow(read, "doc_id long, tx long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def _counted(rows: DataFrame, key: list[str], around: list[str]) -> DataFrame:
-    """Per surroundings of a bucket: how many rows, how many different ones in the bucket, one row's place."""
-    each = rows.groupBy(*key, *around).agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "tx", "at")).alias("one"))
-    many = each.groupBy(*key).agg(F.sum("same").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
-    return each.join(many, key).select(*key, *around, "same", "kinds", "one")
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose bucket holds another one: a narrow combinable count first, then the rows that it leaves."""
+    return rows.join(rows.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), key)
 
 
 def _settle(rows: DataFrame, key: list[str], around: list[str]) -> DataFrame:
-    """Rows that share their bucket, with ``repeated`` (settled now) and ``open`` (to be refined).
+    """``rows`` (of shared buckets) with ``repeated`` (settled now) and ``open`` (to be refined).
 
     Of rows with equal surroundings one stays, settled, for others to meet.
     """
-    known = _counted(rows, key, around)
-    met = rows.join(known, [*key, *around])
-    one = F.struct("doc_id", "tx", "at").eqNullSafe(F.col("one"))
-    repeated = (F.col("same") > 1)
+    each = rows.groupBy(*key, *around).agg(F.count("*").alias("same"), F.min(F.xxhash64("doc_id", "tx", "at")).alias("one"))
+    kinds = each.groupBy(*key).agg(F.count("*").alias("kinds"))
+    met = rows.join(each.join(kinds, key), [*key, *around])
+    repeated = F.col("same") > 1
+    one = F.xxhash64("doc_id", "tx", "at") == F.col("one")
     return met.withColumn("repeated", repeated & ~F.col("settled")).withColumn("open", (F.col("kinds") > 1) & (~repeated | one)).withColumn("settled", F.col("settled") | repeated).drop("same", "kinds", "one")
 
 
@@ -227,11 +229,17 @@ def _refine(rows: DataFrame, width: int, fan: int) -> tuple[DataFrame, int]:
 
 def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """(texts with repeated q-gram buckets, runs of repeated starts (doc_id, tx, low, high))."""
-    runs = scratch.save(anchor_runs(docs, length, gram), "runs").withColumn("settled", F.lit(False))
-    met = _settle(runs, ["bucket"], ["near", "far", "around"])
-    listed = met.where("repeated or open").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("at", "near", "far", "bucket", "settled", "repeated", "open")).alias("runs"))
-    null_safe = docs.alias("d").join(listed.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tx") == F.col("r.tx")))
-    pending = scratch.save(null_safe.select("d.doc_id", "d.text", "d.tx", "r.runs"), "pending")
+    runs = scratch.save(anchor_runs(docs, length, gram), "runs")
+    shared = scratch.save(_shared(runs, ["bucket"]).withColumn("settled", F.lit(False)), "shared")
+    scratch.drop("runs")
+    listed = _settle(shared, ["bucket"], ["near", "far", "around"]).where("repeated or open").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("at", "near", "far", "bucket", "settled", "repeated", "open")).alias("runs"))
+    listed = scratch.save(listed, "listed")
+    scratch.drop("shared")
+    # Texts without any such run stay where they are, if the hashes of the others are few.
+    some = docs.join(broadcast_if_small(listed.select("tx").distinct(), BROADCAST_TEXTS), "tx", "left_semi")
+    met = some.alias("d").join(listed.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tx") == F.col("r.tx")))
+    pending = scratch.save(met.select("d.doc_id", "d.text", "d.tx", "r.runs"), "pending")
+    scratch.drop("listed")
     found = pending.select("doc_id", "tx", F.explode(F.filter("runs", lambda r: r["repeated"])).alias("r")).select("doc_id", "tx", (F.col("r.at") - F.col("r.far")).alias("low"), (F.col("r.at") - F.col("r.near")).alias("high"))
     todo = _fringes(pending.withColumn("runs", F.filter("runs", lambda r: r["open"])).where("size(runs) > 0"), length, gram)
     rows = scratch.save(todo.withColumns({"band": F.lit(0), "b1": F.col("bucket"), "b2": F.col("bucket")}).drop("bucket"), "rims_0")
@@ -241,7 +249,9 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, f
         cut = scratch.save(cut, f"cut_{n}")
         n += 1
         cut = cut.withColumns({"around": F.xxhash64("lb", F.lit(3), "rb"), "size": F.length("lb")})
-        met = scratch.save(_settle(cut, ["b1", "b2", "band"], ["near", "far", "size", "around"]).drop("size", "around"), f"rims_{n}")
+        met = _settle(_shared(cut, ["b1", "b2", "band"]), ["b1", "b2", "band"], ["near", "far", "size", "around"])
+        met = scratch.save(met.where("repeated or open").drop("size", "around"), f"rims_{n}")
+        scratch.drop(f"cut_{n - 1}")
         all_found.append(met.where("repeated").select("doc_id", "tx", (F.col("at") - F.col("far")).alias("low"), (F.col("at") - F.col("near")).alias("high")))
         rows, width = met.where("open").drop("repeated", "open"), step
     out = all_found[0]
@@ -260,23 +270,30 @@ def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST
     each stay as a row. Input columns with the names of results are replaced.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "tx"]
-    docs = docs.drop(*results).withColumn("tx", F.xxhash64("text"))
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "tx")
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    docs = docs.drop(*results).withColumn("_sw_tx", F.xxhash64("text"))
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("_sw_tx").alias("tx"))
     pending, spans = repeated_starts(slim, scratch, length, gram_size(length, least_gram, fan), fan)
     per = spans.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     with_spans = pending.alias("p").join(per.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.tx") == F.col("s.tx"))).select("p.doc_id", "p.text", "p.tx", "s.spans")
     done = scratch.save(_kept(with_spans, length, want_text), "kept").dropDuplicates(["doc_id", "tx"])
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col("d.tx") == F.col("k.tx"))
-    whole = docs.withColumns({"n_bytes": F.length(F.coalesce("text", F.lit("")).cast("binary")).cast("long"), "sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
-    if not want_text:
-        whole = whole.drop("text")
-    joined = whole.alias("d").join(done.alias("k"), same, "left")
-    columns = [F.col(f"d.`{c}`") for c in whole.columns if c not in ("tx", "sha", "n_bytes")]
-    out = [F.col("d.n_bytes"), F.coalesce("k.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("k.n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("k.kept_sha256", "d.sha").alias("kept_sha256")]
-    if want_text:
-        out.append(F.when(F.col("k.n_removed") > 0, F.col("k.kept_text")).otherwise(F.coalesce("d.text", F.lit(""))).alias("kept_text"))
-    return joined.select(*columns, *out)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    whole = docs.withColumns({"n_bytes": F.length(raw).cast("long"), "_sw_sha": F.sha2(raw, 256)})
+    columns = [c for c in whole.columns if c not in ("_sw_tx", "_sw_sha", "n_bytes")]
+
+    def result(rows: DataFrame, removed, spans, sha, text) -> DataFrame:
+        out = [F.col("n_bytes"), removed.cast("long").alias("n_removed"), spans.cast("long").alias("n_spans"), sha.alias("kept_sha256")]
+        return rows.select(*[F.col(f"`{c}`") for c in columns], *out, *([text.alias("kept_text")] if want_text else []))
+
+    # Rows whose text lost nothing need no join on ids; the others meet their result.
+    hashes = broadcast_if_small(done.where("n_removed > 0").select(F.col("tx").alias("_sw_tx")).distinct(), BROADCAST_TEXTS)
+    zero = F.lit(0)
+    same = result(whole.join(hashes, "_sw_tx", "left_anti"), zero, zero, F.col("_sw_sha"), F.coalesce("text", F.lit("")))
+    rest = whole.join(hashes, "_sw_tx", "left_semi").withColumn("_sw_id", F.col("doc_id").cast("long"))
+    lost = done.select(F.col("doc_id").alias("_sw_k_id"), F.col("tx").alias("_sw_k_tx"), F.col("n_removed").alias("_sw_k_removed"), F.col("n_spans").alias("_sw_k_spans"), F.col("kept_sha256").alias("_sw_k_sha"), F.col("kept_text").alias("_sw_k_text"))
+    met = rest.join(lost, F.col("_sw_id").eqNullSafe(F.col("_sw_k_id")) & (F.col("_sw_tx") == F.col("_sw_k_tx")), "left")
+    changed = result(met, F.coalesce("_sw_k_removed", zero), F.coalesce("_sw_k_spans", zero), F.coalesce("_sw_k_sha", "_sw_sha"), F.when(F.col("_sw_k_removed") > 0, F.col("_sw_k_text")).otherwise(F.coalesce("text", F.lit(""))))
+    return same.unionAll(changed)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

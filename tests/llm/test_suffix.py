@@ -60,7 +60,7 @@ def test_nulls_ties_repeated_rows_and_clashing_names(spark):
     rows = [(1, t), (1, t), (2, None), (3, ""), (None, t), (4, "short"), (5, "x" * 50)]
     df = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], SCHEMA + ", tx int, n_removed int, other int")
     got = suffix.repeated_text(df, 20, 5, 3, want_text=True)
-    assert got.columns == ["doc_id", "text", "other", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    assert got.columns == ["doc_id", "text", "tx", "other", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=repr) == brute(rows, 20)
     assert {r.doc_id: r.kept_text for r in got.collect()}[4] == "short"
 
