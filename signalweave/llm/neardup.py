@@ -26,9 +26,9 @@ from .graph import components
 #: Words of a shingle, orders, values of an order, shared values of a candidate.
 SHINGLE, TREES, DEPTH, FLOOR = 5, 16, 6, 2
 #: Neighbours of the first round; of the rounds in dense regions; candidates a text may offer in a round.
-NEAR, WIDE, OFFERS = 3, 256, 8
+NEAR, WIDE, OFFERS = 3, 256, 64
 #: Links need 100 * intersection >= PERCENT * union; candidates need this share of equal signature values.
-PERCENT, LIKELY = 75, 0.55
+PERCENT, LIKELY = 75, 0.57
 #: Ids up to which the texts that take part in candidates are found by a broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -276,6 +276,32 @@ def _alike(pairs: DataFrame, sigs: DataFrame, values: int) -> DataFrame:
     return near.select("a", "b", same.alias("like")).where(F.col("like") >= LIKELY)
 
 
+def _ends(tested: DataFrame) -> DataFrame:
+    return tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _crossing(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(member.select(F.col("node").alias(end), F.col("component").alias(f"{end}_comp")), end, "left").withColumn(f"{end}_comp", F.coalesce(f"{end}_comp", end))
+    return pairs.where("a_comp <> b_comp").select("a", "b")
+
+
+def _merged(member: DataFrame, tested: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``member`` (node, component) after the new links: only components that these join are worked on."""
+    linked = tested.where("linked").select("a", "b")
+    if not linked.limit(1).count():
+        return member
+    new = linked.select(F.col("a").alias("node")).unionAll(linked.select(F.col("b").alias("node"))).distinct().join(member, "node", "left_anti")
+    every = member.unionByName(new.withColumn("component", F.col("node")))
+    edges = linked
+    for end in ("a", "b"):
+        edges = edges.join(every.select(F.col("node").alias(end), F.col("component").alias(f"{end}_comp")), end)
+    joined = components(edges.select(F.col("a_comp").alias("src"), F.col("b_comp").alias("dst")), scratch, f"cc_{name}")
+    moved = every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return scratch.save(moved.select("node", F.coalesce("to", "component").alias("component")), f"member_{name}")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -305,28 +331,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     best = ends.groupBy("of").agg(F.max(F.struct("like", F.col("a"), F.col("b"))).alias("x"), F.max(F.struct("like", -F.col("a"), -F.col("b"))).alias("y"))
     first = best.select(F.explode(F.array(F.struct(F.col("x.a").alias("a"), F.col("x.b").alias("b")), F.struct((-F.col("y.col2")).alias("a"), (-F.col("y.col3")).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
     tested = scratch.save(_confirm(first, sets, percent), "tested_0")
-    n, rest, offers = 0, likely.select("a", "b"), OFFERS
-    while True:
-        member = components(tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"cc_{n}")
-        comp = lambda d, c: d.join(member.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-        crossing = comp(comp(rest, "a"), "b").where("a_comp <> b_comp").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti").distinct()
+    member = components(_ends(tested), scratch, "cc_0").select("node", "component")
+    crossing = scratch.save(_crossing(likely.select("a", "b"), member).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    more = scratch.save(_confirm(crossing, sets, percent), "tested_1")
+    member, tested, n, offers = _merged(member, more, scratch, "1"), tested.unionByName(more), 1, OFFERS
+
+    # Dense regions offer every likely pair of different components; only rows that hold some back make another round.
+    while dense.limit(1).count():
         n += 1
-        crossing = scratch.save(crossing, f"crossing_{n}")
-        if not crossing.limit(1).count():
-            # Nothing is left to test among the candidates: ask for more of them where regions are dense.
-            if not dense.limit(1).count():
-                break
-            now = sigs.drop("comp").join(dense, "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("comp"))
-            more = scratch.save(_neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), WIDE, FLOOR, depth, offers), f"offered_{n}")
-            rest = scratch.save(more.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"more_{n}")
-            if not rest.limit(1).count():
-                if not more.where("kind = 1").limit(1).count():
-                    break
-                # All offers were tested before and some rows hold more back.
-                offers *= 8
-                continue
-            crossing = rest
-        tested = scratch.save(tested.unionByName(_confirm(crossing, sets, percent)), f"tested_{n}")
+        now = sigs.drop("comp").join(dense, "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("comp"))
+        offered = scratch.save(_neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), WIDE, FLOOR, depth, offers), f"offered_{n}")
+        fresh = offered.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = scratch.save(_confirm(fresh, sets, percent), f"tested_{n}")
+        member, tested = _merged(member, more, scratch, f"{n}"), tested.unionByName(more)
+        if not offered.where("kind = 1").limit(1).count():
+            break
+        offers *= 8
     of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     joined = seen.join(of_class, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
