@@ -1,7 +1,11 @@
-"""Connected components by DataFrame joins alone."""
+"""Connected components: by DataFrame joins alone, or with small graphs in one bounded task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +37,36 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
             scratch.drop(f"{name}_{n - 2}")
         if not moved:
             return labels
+
+
+#: Links up to which one task finds all components.
+TASK_LINKS = 500_000
+
+
+def components_bounded(edges: DataFrame, scratch: Scratch, name: str = "cc", links: int = TASK_LINKS) -> DataFrame:
+    """As ``components``; up to ``links`` links are written once, counted and joined in one task by union-find.
+
+    The bound is on what that task holds, some tens of MB; larger graphs take the
+    distributed rounds. Nodes are numbers here.
+    """
+    edges = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), f"{name}_links")
+    if edges.limit(links + 1).count() > links:
+        return components(edges, scratch, name)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := up.setdefault(x, x)) != x:
+                up[x] = x = up[p]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = np.fromiter(up, np.int64, len(up))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.fromiter((root(x) for x in nodes.tolist()), np.int64, len(nodes)))], names=["node", "component"])
+
+    return scratch.save(edges.coalesce(1).mapInArrow(join, "node long, component long"), f"{name}_found")
