@@ -1,5 +1,5 @@
 """Connected components of alias and copy links."""
 
-from signalweave.operators.components import components
+from signalweave.operators.components import components, components_bounded
 
-__all__ = ["components"]
+__all__ = ["components", "components_bounded"]

@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small, chunks, table
-from .graph import components
+from .graph import components_bounded as components
 
 #: Words of a shingle, orders, values of an order, shared values of a candidate.
 SHINGLE, TREES, DEPTH, FLOOR = 5, 16, 6, 2
 #: Neighbours of the first round; of the rounds in dense regions; candidates a text may offer in a round.
-NEAR, WIDE, OFFERS = 3, 256, 64
-#: Links need 100 * intersection >= PERCENT * union; candidates need this share of equal signature values.
-PERCENT, LIKELY = 75, 0.57
+NEAR, WIDE, OFFERS = 2, 256, 8
+#: Links need 100 * intersection >= PERCENT * union. Candidates need this share of equal signature values: four
+#: standard deviations under 0.75 at first, three where a dense region gives many chances.
+PERCENT, LIKELY, LIKELY_DENSE = 75, 0.57, 0.61
 #: Ids up to which the texts that take part in candidates are found by a broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -124,69 +125,70 @@ def _shared(keys: np.ndarray, step: int, tree: np.ndarray) -> np.ndarray:
 def _neighbours(rows: DataFrame, near: int, floor: int, depth: int, offers: int = 0) -> DataFrame:
     """Pairs of neighbours in the sorted orders.
 
-    ``rows``: (tree, key, id, comp, sig), sorted over the cluster; each task sees a
+    ``rows``: (tree, key, id, comp, size, sig), sorted over the cluster; each task sees a
     run of the order. The last and first ``near`` rows of adjoining tasks are met
     in a second step by the number of the task, so no pair is lost at the seams.
-    With ``offers``, the dense rounds, rows carry signatures, only pairs of
-    different components that look alike are given, and of each row no more than
-    its ``offers`` likeliest. Returns (kind, a, b): pairs (kind 0), and rows (kind 1:
-    a) whose region goes on beyond ``near`` or that have more to offer.
+    With ``offers``, the dense rounds, rows carry signatures, and only pairs of
+    different components that look alike are given. The row of the smaller
+    component asks; it gets no more than its ``offers`` likeliest, so that a few
+    outliers of a large group are not paired with all of it. Returns (kind, a, b):
+    pairs (kind 0), and rows (kind 1: a) whose region goes on beyond ``near`` or
+    that have more to ask.
     """
     dense = offers > 0
 
-    def pairs_of(tree, keys, ids, comps, sigs, split: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs_of(tree, keys, ids, comps, sizes, sigs, split: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, like, beyond = [], [], [], np.zeros(len(ids), bool)
         for step in range(1, min(near, len(ids) - 1) + 1):
-            ok = _shared(keys, step, tree) >= floor
-            i = np.flatnonzero(ok)
+            i = np.flatnonzero(_shared(keys, step, tree) >= floor)
             if step == near and not dense:
                 beyond[i] = beyond[i + step] = True
             if split is not None:
                 i = i[(i < split) & (i + step >= split)]
-            i = i[ids[i] != ids[i + step]]
-            if dense and len(i):
-                i = i[comps[i] != comps[i + step]]
+            i = i[(ids[i] != ids[i + step]) & ((comps[i] != comps[i + step]) | (not dense))]
             if not len(i):
                 continue
-            a.append(i)
-            b.append(i + step)
+            j = i + step
             if dense:
-                like.append((sigs[i] == sigs[i + step]).mean(axis=1))
+                equal = (sigs[i] == sigs[j]).mean(axis=1)
+                i, j, equal = i[equal >= LIKELY_DENSE], j[equal >= LIKELY_DENSE], equal[equal >= LIKELY_DENSE]
+                swap = (sizes[i] > sizes[j]) | ((sizes[i] == sizes[j]) & (ids[i] < ids[j]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                like.append(equal)
+            a.append(i)
+            b.append(j)
         if not a:
             return np.zeros(0, int), np.zeros(0, int), beyond
         a, b = np.concatenate(a), np.concatenate(b)
         if dense:
-            like = np.concatenate(like)
-            keep = like >= LIKELY
-            a, b, like = a[keep], b[keep], like[keep]
-            order = np.lexsort((-like, a))
+            order = np.lexsort((ids[b], -np.concatenate(like), a))
             a, b = a[order], b[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
             beyond[a[rank >= offers]] = True
             a, b = a[rank < offers], b[rank < offers]
         return a, b, beyond
 
-    names = ["kind", "a", "b", "part", "tree", "key", "comp", "sig"]
-    schema = "kind int, a long, b long, part int, tree int, key binary, comp long, sig binary"
+    names = ["kind", "a", "b", "part", "tree", "key", "comp", "size", "sig"]
+    schema = "kind int, a long, b long, part int, tree int, key binary, comp long, size long, sig binary"
 
     def arrays(t: pa.Table):
         n = t.num_rows
         keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u4").reshape(n, depth) if n else np.zeros((0, depth), ">u4")
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), ">u4").reshape(n, -1).astype(np.uint32) if n and dense else None
-        return t["tree"].to_numpy(), keys, t["id"].to_numpy(), t["comp"].to_numpy(), sigs
+        return t["tree"].to_numpy(), keys, t["id"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy(), sigs
 
     def out(kind: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)) if b is not None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)) if b is not None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
 
     def seam(kind: int, t: pa.Table, part: int) -> pa.RecordBatch:
         n = t.num_rows
         col = lambda name: t[name].combine_chunks() if n else pa.array([], t.schema.field(name).type)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), col("id"), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), col("tree"), col("key"), col("comp"), col("sig")], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), col("id"), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), col("tree"), col("key"), col("comp"), col("size"), col("sig")], names=names)
 
     def emit(t: pa.Table, split: int | None) -> Iterator[pa.RecordBatch]:
-        tree, keys, ids, comps, sigs = arrays(t)
-        a, b, beyond = pairs_of(tree, keys, ids, comps, sigs, split)
+        tree, keys, ids, comps, sizes, sigs = arrays(t)
+        a, b, beyond = pairs_of(tree, keys, ids, comps, sizes, sigs, split)
         lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         if len(lo):
             once = np.unique(np.stack([lo, hi]), axis=1)
@@ -220,7 +222,7 @@ def _neighbours(rows: DataFrame, near: int, floor: int, depth: int, offers: int
         # One seam: the last rows of a task and the first of the next, ``near`` of each at most.
         def side(kind: int) -> pa.Table:
             t = both.filter(pc.equal(both["kind"], kind))
-            return pa.table({"tree": t["tree"], "key": t["key"], "id": t["a"], "comp": t["comp"], "sig": t["sig"]}).sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
+            return pa.table({"tree": t["tree"], "key": t["key"], "id": t["a"], "comp": t["comp"], "size": t["size"], "sig": t["sig"]}).sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
 
         left, right = side(2), side(3)
         found = list(emit(pa.concat_tables([left, right]), left.num_rows)) if left.num_rows and right.num_rows else []
@@ -238,10 +240,10 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 def _ordered(sets: DataFrame, trees: int, depth: int, dense: bool) -> DataFrame:
-    """A row for each order: (tree, key, id, comp, sig)."""
+    """A row for each order: (tree, key, id, comp, size, sig)."""
     key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
     sig = F.col("sig") if dense else F.lit(None).cast("binary")
-    return sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", key.alias("key"), "id", "comp", sig.alias("sig"))
+    return sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", key.alias("key"), "id", "comp", "size", sig.alias("sig"))
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -314,7 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     scratch = Scratch(docs.sparkSession, "neardup")
     seen = scratch.save(sketches(docs.select("doc_id", "text"), shingle, trees, depth), "sketches")
     classes = scratch.save(seen.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    sigs = seen.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "sig", F.col("id").alias("comp"))
+    sigs = seen.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "sig", F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"))
     sigs = scratch.save(sigs.dropDuplicates(["id"]), "sigs")
 
     met = scratch.save(_neighbours(_sorted(_ordered(sigs, trees, depth, False)), NEAR, FLOOR, depth), "neighbours")
@@ -339,7 +341,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # Dense regions offer every likely pair of different components; only rows that hold some back make another round.
     while dense.limit(1).count():
         n += 1
-        now = sigs.drop("comp").join(dense, "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("comp"))
+        sized = member.join(member.groupBy("component").agg(F.count("*").alias("of")), "component").withColumnRenamed("node", "id")
+        now = sigs.drop("comp", "size").join(dense, "id").join(sized, "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("comp"), F.coalesce("of", F.lit(1)).cast("long").alias("size"))
         offered = scratch.save(_neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), WIDE, FLOOR, depth, offers), f"offered_{n}")
         fresh = offered.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = scratch.save(_confirm(fresh, sets, percent), f"tested_{n}")
