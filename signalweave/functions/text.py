@@ -115,17 +115,39 @@ def gap_pattern(words: list[str], gap: int = 0) -> str:
 
 def trigrams(text: Column) -> Column:
     """Different three-character pieces; shorter texts have none."""
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    c, n = F.split(text, ""), F.length(text) - 2
+    pairs = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b))
+    return F.when(n > 0, F.array_distinct(F.zip_with(pairs, F.slice(c, F.lit(3), n), lambda a, b: F.concat(a, b)))).otherwise(F.array().cast("array<string>"))
+
+
+#: Words that look like plurals and stay as they are.
+UNCHANGED = ["series", "species", "news", "lens", "bias", "physics", "analysis", "basis"]
 
 
 def plural_key(phrase: Column) -> Column:
-    """Regular plural of the last word folded: -ies, -sses/-xes/-ches/-shes, -s; not -ss, -us, -is."""
+    """Regular plural of a phrase's last word folded: -ies to -y, -sses/-ches/-shes and -s dropped.
+
+    Words under five letters, with other than a-z, or in -ss, -is, -us, -ics, -as, -xes stay.
+    """
+    low = collapse(F.lower(phrase))
+    last = F.element_at(F.split(low, " "), -1)
+    keep = ~last.rlike("^[a-z]{5,}$") | last.isin(UNCHANGED) | last.rlike("(ss|is|us|ics|as)$")
     return (
-        F.when(phrase.rlike(r"[a-z]{2,}ies$"), F.regexp_replace(phrase, "ies$", "y")).when(phrase.rlike(r"(ss|x|ch|sh)es$"), F.regexp_replace(phrase, "es$", ""))
-        .when(phrase.rlike(r"[a-z]{2,}s$") & ~phrase.rlike(r"(ss|us|is)$"), F.regexp_replace(phrase, "s$", "")).otherwise(phrase)
+        F.when(keep, low).when(last.rlike("^[a-z]{3,}ies$"), F.regexp_replace(low, "ies$", "y")).when(last.rlike("(ss|ch|sh)es$"), F.regexp_replace(low, "es$", ""))
+        .when(last.rlike("s$") & ~last.rlike("xes$"), F.regexp_replace(low, "s$", "")).otherwise(low)
     )
 
 
+def inflection_key(phrase: Column) -> Column:
+    """Each word over four letters without its -ies or -s (not -ss, -us, -is)."""
+
+    def fold(w: Column) -> Column:
+        long = F.length(w) > 4
+        return F.when(long & w.endswith("ies"), F.regexp_replace(w, "ies$", "y")).when(long & w.endswith("s") & ~w.rlike("(ss|us|is)$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+
+    return F.array_join(F.transform(F.split(phrase, " "), fold), " ")
+
+
 def story_fingerprint(title: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.lower(title), r"(?U)[^\p{L}\p{N}]+", " ")), 256)
 

@@ -1,4 +1,6 @@
-"""Catalogue of named queries and their SQL equivalents."""
+"""The catalogue of named queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from signalweave.plans import identity_queries, review_queries, series_queries, text_queries, vector_queries
+from signalweave.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "identity_queries", "review_queries", "series_queries", "text_queries", "vector_queries"]
