@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it; a cluster that ships it needs nothing of this."""
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
