@@ -27,9 +27,11 @@ from .graph import components_bounded as components
 SHINGLE, TREES, DEPTH, FLOOR = 5, 16, 6, 2
 #: Neighbours of the first round; of the rounds in dense regions; candidates a text may offer in a round.
 NEAR, WIDE, OFFERS = 2, 256, 8
-#: Links need 100 * intersection >= PERCENT * union. Candidates need this share of equal signature values: four
-#: standard deviations under 0.75 at first, three where a dense region gives many chances.
-PERCENT, LIKELY, LIKELY_DENSE = 75, 0.57, 0.61
+#: Links need 100 * intersection >= PERCENT * union; candidates need this share of equal signature values, four
+#: standard deviations under 0.75.
+PERCENT, LIKELY = 75, 0.57
+#: Values of the sharper signatures of dense regions, and the share of them that candidates need there.
+SHARP, LIKELY_DENSE = 512, 0.69
 #: Ids up to which the texts that take part in candidates are found by a broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -242,7 +244,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 def _ordered(sets: DataFrame, trees: int, depth: int, dense: bool) -> DataFrame:
     """A row for each order: (tree, key, id, comp, size, sig)."""
     key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
-    sig = F.col("sig") if dense else F.lit(None).cast("binary")
+    sig = F.col("sharp") if dense else F.lit(None).cast("binary")
     return sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", key.alias("key"), "id", "comp", "size", sig.alias("sig"))
 
 
@@ -262,6 +264,22 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, "id long, shingles array<long>")
 
 
+def sharp_signatures(sets: DataFrame, values: int = SHARP) -> DataFrame:
+    """(id, sharp): signatures of ``values`` values from sets; empty sets have none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = _multipliers(values)
+        for batch in batches:
+            ids, rows = [], []
+            for i, one in enumerate(batch.column(1)):
+                if len(hashes := one.values.to_numpy().view(np.uint64)):
+                    ids.append(i)
+                    rows.append((np.array([(hashes * m).min() for m in many]) >> np.uint64(32)).astype(">u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(rows, pa.binary())], names=["id", "sharp"])
+
+    return sets.mapInArrow(read, "id long, sharp binary")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with ``linked``, judged on full sets."""
     a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -339,10 +357,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     member, tested, n, offers = _merged(member, more, scratch, "1"), tested.unionByName(more), 1, OFFERS
 
     # Dense regions offer every likely pair of different components; only rows that hold some back make another round.
-    while dense.limit(1).count():
+    regions = bool(dense.limit(1).count())
+    if regions:
+        sharp = scratch.save(sigs.select("id", "sig").join(sharp_signatures(sets), "id").join(dense, "id"), "sharp")
+    while regions:
         n += 1
         sized = member.join(member.groupBy("component").agg(F.count("*").alias("of")), "component").withColumnRenamed("node", "id")
-        now = sigs.drop("comp", "size").join(dense, "id").join(sized, "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("comp"), F.coalesce("of", F.lit(1)).cast("long").alias("size"))
+        now = sharp.join(sized, "id", "left").select("id", "sig", "sharp", F.coalesce("component", "id").alias("comp"), F.coalesce("of", F.lit(1)).cast("long").alias("size"))
         offered = scratch.save(_neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), WIDE, FLOOR, depth, offers), f"offered_{n}")
         fresh = offered.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = scratch.save(_confirm(fresh, sets, percent), f"tested_{n}")
