@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import table, text_bytes
 
 #: Labelled rows of each class that are learned from, at most; latent dimensions; voters; texts scored at once.
-PER_CLASS, DIMENSIONS, VOTERS, BLOCK = 1_500, 64, 15, 256
+PER_CLASS, DIMENSIONS, VOTERS, BLOCK = 600, 64, 15, 256
 #: Weight of a vote: similarity to this power.
 SHARPNESS = 8
 #: Bytes of a text that are turned to terms at once; all of a text is read.
@@ -54,7 +54,7 @@ TERMS = KINDS * KINDS + SHAPES
 
 def terms(raw: bytes) -> np.ndarray:
     """Damped counts of a whole text's terms; empty texts have none."""
-    counts = np.zeros(TERMS)
+    counts = np.zeros(TERMS, np.float64)
     for at in range(0, len(raw), SLICE):
         k = _KIND[np.frombuffer(raw, np.uint8, min(SLICE + 1, len(raw) - at), at)]
         if len(k) > 1:
@@ -82,13 +82,13 @@ class LatentSpace:
         self.labels = labels.astype(np.float64)
         if not n:
             return
-        self.weight = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1
+        self.weight = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
         x = self._unit(counts * self.weight)
         # Right singular vectors from the Gram matrix; signs do not matter for cosines.
-        values, vectors = np.linalg.eigh(x @ x.T)
+        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
         top = [i for i in np.argsort(-values, kind="stable")[:dimensions] if values[i] > 1e-9 * values[-1]]
-        self.project = (x.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
-        self.vectors = self._unit(x.astype(np.float32) @ self.project)
+        self.project = x.T @ (vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
+        self.vectors = self._unit(x @ self.project)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ class LatentSpace:
         """
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        x = self._unit((self._unit(counts * self.weight)).astype(np.float32) @ self.project)
+        x = self._unit(self._unit(counts.astype(np.float32) * self.weight) @ self.project)
         similar = np.round((x @ self.vectors.T).astype(np.float64), 5)
         k = min(voters, similar.shape[1])
         near = np.argsort(-similar, axis=1, kind="stable")[:, :k] if similar.shape[1] <= 64 else self._nearest(similar, k)
@@ -138,7 +138,7 @@ def training_terms(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "terms"])
 
     got = chosen.mapInArrow(read, "doc_id long, quality int, terms binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, TERMS).astype(np.float64)
+    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
     return counts, np.array(got["quality"].to_pylist(), np.float64)
 
 
