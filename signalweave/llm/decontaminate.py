@@ -122,7 +122,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int
     return index.where("base = 0").select("doc_id", "n_words"), found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, plan_words: int = PLAN_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a window is hit. Null and empty texts have
@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     share a doc_id share its hits.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    sizes, found = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), scratch, window, block)
+    sizes, found = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), scratch, window, block, plan_words=plan_words)
     found = scratch.save(found.select("doc_id", "at", "size", "item_id").distinct(), "found")
     covered = found.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("place")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
