@@ -36,8 +36,8 @@ def answer_matrix(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFram
 def threshold_fit(df: DataFrame, value: str, target: Column, by: list[str] = (), minimum: int = 1) -> DataFrame:
     """The midpoint between neighbouring values with the best balanced accuracy (value >= threshold is positive).
 
-    Ties: fewer errors, then the smaller size of the threshold. Null where a class
-    has under ``minimum`` rows. Values are first counted, so that running sums go
+    Ties: fewer errors, then the smaller size of the threshold. No row where a
+    class has under ``minimum`` rows. Values are first counted, so that running sums go
     over different values only.
     """
     rows = df.where(F.col(value).isNotNull())
@@ -49,7 +49,7 @@ def threshold_fit(df: DataFrame, value: str, target: Column, by: list[str] = (),
     first = t.where("v = low").select(*by, "P", "N", (F.col("low") - eps).alias("threshold"), F.lit(0).cast("long").alias("fn"), F.col("N").alias("fp"))
     scored = above.unionByName(first).where((F.col("P") >= minimum) & (F.col("N") >= minimum))
     scored = scored.withColumns({"accuracy": F.round(((F.col("P") - F.col("fn")) / F.col("P") + (F.col("N") - F.col("fp")) / F.col("N")) / 2, 12), "errors": F.col("fn") + F.col("fp")})
-    best = scored.groupBy(*by).agg(F.max(F.struct("accuracy", (-F.col("errors")).alias("e"), (-F.abs("threshold")).alias("t"), "threshold")).alias("b"))
+    best = scored.groupBy(*by).agg(F.max(F.struct("accuracy", (-F.col("errors")).alias("e"), (-F.abs("threshold")).alias("t"), "threshold")).alias("b")).where("b is not null")
     return best.select(*by, "b.threshold", F.round("b.accuracy", 6).alias("balanced_accuracy"), (-F.col("b.e")).alias("errors"))
 
 

@@ -71,7 +71,7 @@ n AS (SELECT *, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS nt, trim
 m AS (SELECT *, list_filter(['the', 'und', 'que', 'tion'], lambda x: contains(nt, x)) AS mt, list_distinct(list_concat(list_filter(['the', 'und', 'que', 'tion'], lambda x: contains(nt, x)), list_filter(['the', 'und', 'que', 'tion'], lambda x: contains(na, x)))) AS ma FROM n),
 q AS (SELECT *, CASE WHEN len(mt) > 0 THEN mt[1] ELSE list_filter(['the', 'und', 'que', 'tion'], lambda x: contains(na, x))[1] END AS f, CASE WHEN ha AND ho THEN 0.95 WHEN ha THEN 0.85 WHEN coalesce(abstract, '') <> '' THEN 0.62 ELSE 0.38 END - CASE WHEN imprecise THEN 0.12 ELSE 0 END AS s FROM m)
 SELECT doc_id, CASE WHEN len(ma) = 0 THEN 'exclude' WHEN withdrawn OR tc THEN 'quarantine' ELSE 'include' END AS decision, CAST(len(ma) AS BIGINT) AS matched,
-  CASE WHEN len(ma) > 0 THEN round(least(1, 0.55 + 0.15 * len(ma) + CASE WHEN contains(nt, f) THEN 0.15 ELSE 0 END), 2) ELSE 0 END AS relevance, CASE WHEN len(ma) = 0 THEN 0.2 WHEN withdrawn OR tc THEN round(least(s, 0.25), 2) ELSE round(s, 2) END AS source_quality FROM q""")
+  CAST(CASE WHEN len(ma) > 0 THEN round(least(1, 0.55 + 0.15 * len(ma) + CASE WHEN contains(nt, f) THEN 0.15 ELSE 0 END), 2) ELSE 0 END AS DOUBLE) AS relevance, CAST(CASE WHEN len(ma) = 0 THEN 0.2 WHEN withdrawn OR tc THEN round(least(s, 0.25), 2) ELSE round(s, 2) END AS DOUBLE) AS source_quality FROM q""")
 def quality_decision(spark, folder):
     from signalweave.functions.text import first_sentence
 

@@ -22,7 +22,7 @@ def openalex_works(works: DataFrame) -> DataFrame:
     return works.select(
         F.substring_index("id", "/", -1).alias("source_id"),
         clean_doi(col("doi", "string")).alias("doi"),
-        bare_arxiv_id(F.when(col("doi", "string").contains("10.48550/arxiv."), F.substring_index(F.lower(col("doi", "string")), "arxiv.", -1))).alias("arxiv_id"),
+        bare_arxiv_id(F.when(F.lower(col("doi", "string")).contains("10.48550/arxiv."), F.substring_index(F.lower(col("doi", "string")), "arxiv.", -1))).alias("arxiv_id"),
         F.coalesce(col("title", "string"), col("display_name", "string")).alias("title"),
         abstract.alias("abstract"),
         F.to_date(col("publication_date", "string")).alias("day"),

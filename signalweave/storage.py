@@ -49,6 +49,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Free all tables but these, once nothing reads the others."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for held in fs.listStatus(path):
+            if held.getPath().getName() not in names:
+                fs.delete(held.getPath(), True)
+
     def drop(self, name: str) -> None:
         """Free a table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

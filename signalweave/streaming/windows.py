@@ -26,34 +26,40 @@ def session_counts(events: DataFrame, at: str, topic: str, gap: str, late: str)
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), topic).agg(F.count("*").alias("works")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), topic, "works")
 
 
-def live_popularity(counts: DataFrame, topic: str, half_life_days: float, silent_days: int) -> DataFrame:
-    """Decayed popularity per topic as closed windows arrive; a topic that is silent for too long is reported dead and forgotten.
+def live_popularity(events: DataFrame, at: str, topic: str, late: str, half_life_days: float, silent_days: int) -> DataFrame:
+    """Decayed popularity per topic as events arrive; a topic that is silent for too long is reported dead and forgotten.
 
-    ``counts``: (start, end, topic, works) with a watermark on ``end``. State is one
-    small tuple a topic: popularity, last day, windows seen.
+    Exponential decay is additive, so a late row is added with what is left of it
+    and the state does not depend on the order of arrival. State is one small
+    tuple a topic: popularity at its latest time, that time, rows seen.
     """
-    schema = f"{topic} string, day timestamp, popularity double, windows long, alive boolean"
+    schema = f"{topic} string, at timestamp, popularity double, works long, alive boolean"
+    day_ms = 86_400_000
+
+    def row(key: tuple, p: float, ms: int, n: int, alive: bool) -> pd.DataFrame:
+        return pd.DataFrame({topic: [key[0]], "at": [pd.Timestamp(ms, unit="ms")], "popularity": [p], "works": [n], "alive": [alive]})
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            p, day, n = state.get
+            p, ms, n = state.get
             state.remove()
-            yield pd.DataFrame({topic: [key[0]], "day": [pd.Timestamp(day)], "popularity": [p], "windows": [n], "alive": [False]})
+            yield row(key, p, ms, n, False)
             return
-        p, day, n = state.get if state.exists else (0.0, None, 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("end").itertuples():
-            now = row.end.value
-            gap = max((now - day) / 86_400e9, 1.0) if day is not None and now > day else 0.0
-            p = p * 0.5 ** (gap / half_life_days) + row.works
-            day, n = now if day is None else max(day, now), n + 1
-            out.append((key[0], row.end, p, n, True))
-        state.update((p, day, n))
-        if (edge := day // 1_000_000 + silent_days * 86_400_000) > state.getCurrentWatermarkMs():
+        p, ms, n = state.get if state.exists else (0.0, None, 0)
+        for batch in batches:
+            times = batch["at_ms"].to_numpy()
+            latest = int(times.max()) if ms is None else max(ms, int(times.max()))
+            if ms is not None:
+                p *= 0.5 ** ((latest - ms) / day_ms / half_life_days)
+            p += float((0.5 ** ((latest - times) / day_ms / half_life_days)).sum())
+            ms, n = latest, n + len(times)
+        state.update((p, ms, n))
+        if (edge := ms + silent_days * day_ms) > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(edge)
-        yield pd.DataFrame(out, columns=[topic, "day", "popularity", "windows", "alive"])
+        yield row(key, p, ms, n, True)
 
-    return counts.groupBy(topic).applyInPandasWithState(advance, schema, "popularity double, day long, windows long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.withWatermark(at, late).select(F.col(topic).cast("string").alias(topic), at, F.unix_millis(at).alias("at_ms"))
+    return timed.groupBy(topic).applyInPandasWithState(advance, schema, "popularity double, at long, works long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_once(path: str, key: str = "content_sha256"):
