@@ -124,7 +124,7 @@ def _shared(keys: np.ndarray, step: int, tree: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), keys.shape[1], same.argmin(axis=1))
 
 
-def _neighbours(rows: DataFrame, near: int, floor: int, depth: int, offers: int = 0) -> DataFrame:
+def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor: int, depth: int, offers: int = 0) -> DataFrame:
     """Pairs of neighbours in the sorted orders.
 
     ``rows``: (tree, key, id, comp, size, sig), sorted over the cluster; each task sees a
@@ -176,7 +176,7 @@ def _neighbours(rows: DataFrame, near: int, floor: int, depth: int, offers: int
     def arrays(t: pa.Table):
         n = t.num_rows
         keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u4").reshape(n, depth) if n else np.zeros((0, depth), ">u4")
-        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), ">u4").reshape(n, -1).astype(np.uint32) if n and dense else None
+        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(n, -1) if n and dense else None
         return t["tree"].to_numpy(), keys, t["id"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy(), sigs
 
     def out(kind: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
@@ -230,10 +230,11 @@ def _neighbours(rows: DataFrame, near: int, floor: int, depth: int, offers: int
         found = list(emit(pa.concat_tables([left, right]), left.num_rows)) if left.num_rows and right.num_rows else []
         return pa.Table.from_batches(found, schema=found[0].schema if found else out(0, np.zeros(0)).schema)
 
-    scratch = Scratch(rows.sparkSession, "forest")
-    met = scratch.save(rows.mapInArrow(read, schema), "met")
+    met = scratch.save(rows.mapInArrow(read, schema), f"{name}_met")
     sewn = met.where("kind > 1").withColumn("seam", F.when(F.col("kind") == 2, F.col("part")).otherwise(F.col("part") - 1)).groupBy("seam").applyInArrow(sew, schema)
-    return met.where("kind < 2").unionByName(sewn.where("kind < 2")).select("kind", "a", "b")
+    found = scratch.save(met.where("kind < 2").unionByName(sewn.where("kind < 2")).select("kind", "a", "b"), name)
+    scratch.drop(f"{name}_met")
+    return found
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sharp_signatures(sets: DataFrame, values: int = SHARP) -> DataFrame:
-    """(id, sharp): signatures of ``values`` values from sets; empty sets have none."""
+    """(id, sharp): signatures of ``values`` values from sets, of one byte each: one in 256 is equal by chance. Empty sets have none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = _multipliers(values)
@@ -274,7 +275,7 @@ def sharp_signatures(sets: DataFrame, values: int = SHARP) -> DataFrame:
             for i, one in enumerate(batch.column(1)):
                 if len(hashes := one.values.to_numpy().view(np.uint64)):
                     ids.append(i)
-                    rows.append((np.array([(hashes * m).min() for m in many]) >> np.uint64(32)).astype(">u4").tobytes())
+                    rows.append((np.array([(hashes * m).min() for m in many]) >> np.uint64(32)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(rows, pa.binary())], names=["id", "sharp"])
 
     return sets.mapInArrow(read, "id long, sharp binary")
@@ -337,7 +338,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sigs = seen.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "sig", F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"))
     sigs = scratch.save(sigs.dropDuplicates(["id"]), "sigs")
 
-    met = scratch.save(_neighbours(_sorted(_ordered(sigs, trees, depth, False)), NEAR, FLOOR, depth), "neighbours")
+    met = _neighbours(_sorted(_ordered(sigs, trees, depth, False)), scratch, "neighbours", NEAR, FLOOR, depth)
     likely = scratch.save(_alike(met.where("kind = 0").select("a", "b").distinct(), sigs, trees * depth), "likely")
     dense = met.where("kind = 1").select(F.col("a").alias("id")).distinct()
 
@@ -364,7 +365,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         n += 1
         sized = member.join(member.groupBy("component").agg(F.count("*").alias("of")), "component").withColumnRenamed("node", "id")
         now = sharp.join(sized, "id", "left").select("id", "sig", "sharp", F.coalesce("component", "id").alias("comp"), F.coalesce("of", F.lit(1)).cast("long").alias("size"))
-        offered = scratch.save(_neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), WIDE, FLOOR, depth, offers), f"offered_{n}")
+        offered = _neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), scratch, f"offered_{n}", WIDE, FLOOR, depth, offers)
+        scratch.drop(f"dense_{n}")
         fresh = offered.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = scratch.save(_confirm(fresh, sets, percent), f"tested_{n}")
         member, tested = _merged(member, more, scratch, f"{n}"), tested.unionByName(more)
@@ -372,7 +374,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             break
         offers *= 8
     of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    joined = seen.join(of_class, ["s1", "s2", "n_shingles"], "left")
+    of_class = scratch.save(of_class, "of_class")
+    rows = scratch.save(seen.select("doc_id", "n_shingles", "s1", "s2"), "rows")
+    scratch.keep("of_class", "rows")
+    joined = rows.join(of_class, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
