@@ -133,6 +133,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     scratch = Scratch(docs.sparkSession, "decontaminate")
     sizes, found = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), scratch, window, block, plan_words=plan_words)
     found = scratch.save(found.select("doc_id", "at", "size", "item_id").distinct(), "found")
+    sizes = scratch.save(sizes, "sizes")
+    scratch.keep("found", "sizes")
     covered = found.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("place")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     per = covered.alias("c").join(items.alias("i"), F.col("c.doc_id").eqNullSafe(F.col("i.doc_id"))).select("c.doc_id", "n_hit", "items")

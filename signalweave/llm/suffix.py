@@ -277,6 +277,7 @@ def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST
     per = spans.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     with_spans = pending.alias("p").join(per.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.tx") == F.col("s.tx"))).select("p.doc_id", "p.text", "p.tx", "s.spans")
     done = scratch.save(_kept(with_spans, length, want_text), "kept").dropDuplicates(["doc_id", "tx"])
+    scratch.keep("kept")
     raw = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.withColumns({"n_bytes": F.length(raw).cast("long"), "_sw_sha": F.sha2(raw, 256)})
     columns = [c for c in whole.columns if c not in ("_sw_tx", "_sw_sha", "n_bytes")]
