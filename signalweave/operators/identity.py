@@ -150,3 +150,13 @@ def cross_links(a: DataFrame, b: DataFrame) -> DataFrame:
     met = x.join(y, F.col("x.doi") == F.col("y.doi")).select(*columns).union(x.join(y, F.col("x.title_key") == F.col("y.title_key")).select(*columns)).distinct()
     status = F.when(F.col("same_doi") & F.col("same_title"), "confirmed").when(F.col("same_title") & F.coalesce("shared_author", F.lit(False)) & (F.col("years_apart") <= 2), "probable").otherwise("review")
     return met.withColumn("status", status)
+
+
+def arxiv_identity(doi: Column, links: Column) -> Column:
+    """struct(id, linked, conflict): the DOI's arXiv id wins, else the only one that links name; others are a conflict, not a choice."""
+    primary = F.nullif(F.regexp_extract(F.lower(F.coalesce(doi, F.lit(""))), r"^(?:https?://(?:dx\.)?doi\.org/)?10\.48550/arxiv\.(\d{4}\.\d{4,5})$", 1), F.lit(""))
+    named = F.transform(F.coalesce(links, F.array().cast("array<string>")), lambda u: F.regexp_extract(F.lower(u), r"^https?://(?:www\.|export\.)?arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?/?$", 1))
+    linked = F.array_sort(F.array_distinct(F.filter(named, lambda x: x != "")))
+    chosen = F.coalesce(primary, F.when(F.size(linked) == 1, linked[0]))
+    conflict = F.when(primary.isNotNull(), F.size(F.array_except(linked, F.array(primary))) > 0).otherwise(F.size(linked) > 1)
+    return F.struct(chosen.alias("id"), linked.alias("linked"), conflict.alias("conflict"))

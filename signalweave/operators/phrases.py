@@ -157,3 +157,63 @@ def title_growth(mentions: DataFrame, works: DataFrame, recent: Column, prior: C
     score = F.log1p(F.col("recent").cast("double")) * F.log2(1 + lift)
     out = kept.select("phrase", "works", "recent", "prior", F.round(lift, 3).alias("lift"), F.round(score, 3).alias("score"))
     return out.orderBy(F.col("score").desc(), F.col("recent").desc(), "phrase").limit(k)
+
+
+_DEFINED = re.compile(r"\s\(([A-Z][A-Z0-9]{1,9})\)")
+
+
+def acronyms(df: DataFrame, key: str, fields: list[str], stop: list[str] = STOP) -> DataFrame:
+    """(key, acronym, long_form, definitions): acronyms that a work itself defines as ``long form (LF)``, and in one way only.
+
+    The shortest run of words before the brackets whose initials, stop words
+    aside, spell the acronym is its long form; definitions in other works, or two
+    different ones in a work, resolve nothing. Places need Python's matcher, so
+    this is one Arrow step.
+    """
+    known = frozenset(stop)
+
+    def long_form(before: str, short: str) -> str | None:
+        words = [(m.group().casefold(), m.start(), m.end()) for m in _TOKEN.finditer(before)][-10:]
+        for k in range(len(words) - 2, -1, -1):
+            part = words[k:]
+            gaps = [before[a[2] : b[1]] for a, b in zip(part, part[1:])] + [before[part[-1][2] :]]
+            if any(g.strip(" \t\n-") for g in gaps):
+                return None
+            if part[0][0] not in known and "".join(w[0] for w, _, _ in part if w not in known).upper() == short:
+                return " ".join(w for w, _, _ in part)
+        return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, short, full, n = [], [], [], []
+            for i in range(batch.num_rows):
+                found: dict[str, list[str]] = {}
+                for c in range(1, batch.num_columns):
+                    text = batch.column(c)[i].as_py() or ""
+                    for m in _DEFINED.finditer(text):
+                        if (form := long_form(text[: m.start()], m.group(1))) is not None:
+                            found.setdefault(m.group(1), []).append(form)
+                for k, forms in found.items():
+                    if len(set(forms)) == 1:
+                        row.append(i)
+                        short.append(k)
+                        full.append(forms[0])
+                        n.append(len(forms))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(short, pa.string()), pa.array(full, pa.string()), pa.array(n, pa.int64())], names=[key, "acronym", "long_form", "definitions"])
+
+    return df.select(key, *fields).mapInArrow(read, f"{key} {dict(df.dtypes)[key]}, acronym string, long_form string, definitions long")
+
+
+def topic_labels(terms: DataFrame, topic: str, term: str, count: str, seeds: list[str]) -> DataFrame:
+    """Each topic's most counted term that is not a seed; of equals the one with most words, then the longest, then the last by name."""
+    own = F.trim(F.regexp_replace(F.lower(term), r"\s+", " "))
+    named = terms.where(~own.isin([" ".join(s.lower().split()) for s in seeds]))
+    size = F.struct(F.col(count).alias("n"), F.size(F.split(own, " ")).alias("words"), F.length(term).alias("length"), F.col(term).alias("term"))
+    return named.groupBy(topic).agg(F.max(size).alias("best")).select(topic, F.col("best.term").alias("label"), F.col("best.n").alias("works"))
+
+
+def suggest(df: DataFrame, phrases: str, seeds: Column, k: int, least: int = 2) -> DataFrame:
+    """Phrases of the documents that match the seeds, by how many of those hold them and how much oftener than others."""
+    t = df.select(F.explode(F.array_distinct(phrases)).alias("phrase"), seeds.alias("seed"))
+    per = t.groupBy("phrase").agg(F.count_if("seed").alias("support"), F.count("*").alias("docs")).where(F.col("support") >= least)
+    return per.withColumn("lift", F.col("support") / F.col("docs")).orderBy(F.col("support").desc(), "phrase").limit(k)

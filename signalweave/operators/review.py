@@ -124,3 +124,9 @@ def quality_decision(df: DataFrame, terms: list[str], as_of: Column | None = Non
         "matched": F.when(ok, matched).otherwise(F.array().cast("array<string>")),
         "reasons": reasons,
     }).drop("in_title", "in_abstract")
+
+
+def withdrawal_status(comment: Column, summary: Column, retracted: Column) -> Column:
+    """withdrawn by a comment or the first 200 characters of a summary, retracted by the flag, else not_reported."""
+    said = F.coalesce(comment, F.lit("")).rlike(WITHDRAWN) | F.substring(F.coalesce(summary, F.lit("")), 1, 200).rlike(WITHDRAWN)
+    return F.when(said, "withdrawn").when(F.coalesce(retracted, F.lit(False)), "retracted").otherwise("not_reported")

@@ -146,9 +146,13 @@ def science_axis(weights: dict[str, float] = SCIENCE) -> tuple[Column, Column, C
 
 
 def external_axis(volume: Column, publishers: Column, fresh: Column) -> Column:
-    """0 to 100: volume, publishers and recency, each saturating."""
-    third = 100.0 / 3
-    return third * (F.least(F.lit(1.0), volume / 4) + F.least(F.lit(1.0), publishers / 3) + F.least(F.lit(1.0), fresh / 4))
+    """0 to 100: up to 60 for volume, 20 for publishers and 20 for recency, each saturating."""
+    return 60 * F.least(F.lit(1.0), volume / 4) + 20 * F.least(F.lit(1.0), publishers / 3) + 20 * F.least(F.lit(1.0), fresh / 4)
+
+
+def patent_axis(volume: Column, applicants: Column) -> Column:
+    """0 to 100: up to 70 for families and 30 for applicants."""
+    return 70 * F.least(F.lit(1.0), volume / 4) + 30 * F.least(F.lit(1.0), applicants / 3)
 
 
 def capped_bonus(base: Column, bonuses: list[Column]) -> Column:

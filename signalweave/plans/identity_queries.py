@@ -91,3 +91,23 @@ def team_proxy(spark, folder):
     """Independent teams per topic from shared suppliers; tested on a fixture."""
     per = table(spark, folder, "lineitem").where("l_quantity >= 48").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("orgs"), F.collect_set("l_partkey").alias("people"), F.min("l_returnflag").alias("topic"))
     return identity.teams(per.withColumn("orgs", F.slice("orgs", 1, 1)), "l_orderkey", "people", "orgs")
+
+
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_custkey % 60 AS g, CAST(o_orderdate AS DATE) AS d, row_number() OVER (PARTITION BY o_custkey % 60 ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS n FROM orders WHERE o_orderpriority = '1-URGENT'),
+f(k, g, d, n, ad, ak) AS (SELECT k, g, d, n, d, k FROM r WHERE n = 1 UNION ALL SELECT r.k, r.g, r.d, r.n, CASE WHEN r.d - f.ad > 365 THEN r.d ELSE f.ad END, CASE WHEN r.d - f.ad > 365 THEN r.k ELSE f.ak END FROM f JOIN r ON r.g = f.g AND r.n = f.n + 1)
+SELECT k AS o_orderkey, ak AS family FROM f""")
+def variant_families(spark, folder):
+    from signalweave.operators import topics
+
+    o = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", (F.col("o_custkey") % 60).alias("g"), F.col("o_orderdate").cast("date").alias("d"))
+    return topics.variant_families(o, ["g"], "d", "o_orderkey")
+
+
+@query("""WITH c AS (SELECT o_orderstatus AS channel, o_orderpriority AS stage, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY sha256('quota' || chr(0) || o_orderkey::VARCHAR), o_orderkey) AS t FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY t, stage) AS place, dense_rank() OVER (ORDER BY channel) - 1 AS c FROM c), k AS (SELECT count(DISTINCT channel) AS k FROM c)
+SELECT o_orderkey, channel, stage FROM p, k WHERE place <= floor(50 / k) + CASE WHEN c < 50 % k THEN 1 ELSE 0 END""")
+def quota_sample(spark, folder):
+    from signalweave.operators import ranking, topics
+
+    o = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("channel"), F.col("o_orderpriority").alias("stage"))
+    return topics.quota_sample(o, "channel", "stage", F.struct(ranking.hash_order("quota", "o_orderkey"), "o_orderkey"), 50)

@@ -340,7 +340,7 @@ def cards_order(spark, folder):
 
 
 @query("""WITH b AS (SELECT p_partkey AS topic, (p_partkey * 37 % 101)::DOUBLE AS growth, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_partkey * 53 % 101)::DOUBLE END AS novelty, (p_size * 2)::DOUBLE AS diffusion, (p_size % 4) * 30.0::DOUBLE AS persistence, (p_size % 10) * 10.0::DOUBLE AS coherence, p_size % 9 AS v, p_size % 4 AS pub, p_size % 6 AS fr FROM part),
-a AS (SELECT *, coalesce(growth * 0.4, 0) + coalesce(novelty * 0.25, 0) + diffusion * 0.15 + persistence * 0.1 + coherence * 0.1 AS base, 0.75 + CASE WHEN novelty IS NULL THEN 0 ELSE 0.25 END AS known, 100.0 / 3 * (least(1, v / 4) + least(1, pub / 3) + least(1, fr / 4)) AS ext FROM b)
+a AS (SELECT *, coalesce(growth * 0.4, 0) + coalesce(novelty * 0.25, 0) + diffusion * 0.15 + persistence * 0.1 + coherence * 0.1 AS base, 0.75 + CASE WHEN novelty IS NULL THEN 0 ELSE 0.25 END AS known, 60 * least(1, v / 4) + 20 * least(1, pub / 3) + 20 * least(1, fr / 4) AS ext FROM b)
 SELECT topic, round(base, 5) AS science, CAST(round(known, 5) AS DOUBLE) AS known_weight, round(base + (1 - known) * 100, 5) AS upper_bound, round(ext, 5) AS external, round(base + CASE WHEN ext > 0 THEN (ext * 0.1 + 5) * least(1, greatest(0, 100 - base) / (ext * 0.1 + 5)) ELSE 5 * least(1, greatest(0, 100 - base) / 5) END, 5) AS total FROM a""")
 def multisource_score(spark, folder):
     k, n = F.col("p_partkey"), F.col("p_size")

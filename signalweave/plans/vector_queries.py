@@ -120,3 +120,47 @@ def embedding_status(spark, folder):
 def density_cluster(spark, folder):
     """Density clusters per window; tested against brute force."""
     return vectors.density_clusters(emb(spark, folder), ["win"], "vec_id", "embedding", 0.35, 2)
+
+
+@query(f"""WITH {E_SQL}, x AS (SELECT win, generate_subscripts(v, 1) AS d, unnest(v) AS y FROM e), c AS (SELECT win, list(m ORDER BY d) AS v FROM (SELECT win, d, avg(y) AS m FROM x GROUP BY ALL) GROUP BY win),
+p AS (SELECT a.win, b.win AS past, round(list_inner_product(a.v, b.v) / ((sqrt(list_inner_product(a.v, a.v)) + 1e-12) * (sqrt(list_inner_product(b.v, b.v)) + 1e-12)), 12) AS s FROM c a LEFT JOIN c b ON b.win < a.win)
+SELECT win, (SELECT count(*) FROM e WHERE e.win = p.win) AS works, round(1 - max(s), 6) AS novelty FROM p GROUP BY win""")
+def window_novelty(spark, folder):
+    from signalweave.operators import topics
+
+    return topics.window_novelty(emb(spark, folder), "win", "embedding").select("win", "works", F.round("novelty", 6).alias("novelty"))
+
+
+@query(None)
+def geometry_features(spark, folder):
+    """Distribution of cosines per label; tested against NumPy."""
+    from signalweave.operators import topics
+
+    return topics.geometry(emb(spark, folder), "label", "embedding")
+
+
+@query(None)
+def topic_lifecycle(spark, folder):
+    """Density clusters of each window linked over time; tested on a fixture."""
+    from signalweave.operators import topics
+
+    return topics.lifecycle(emb(spark, folder), "win", "vec_id", "embedding", similarity=0.3, neighbours=2)
+
+
+@query(None)
+def hashing_vectors(spark, folder):
+    """Signed hash vectors of titles and texts; tested against Python."""
+    from signalweave.operators import topics
+    from signalweave.plans.text_queries import docs
+
+    return topics.hashed_vectors(docs(spark, folder), "doc_id", "title", "abstract", 64)
+
+
+@query("""WITH v AS (SELECT label AS topic, vec_id % 4 AS variant, round(avg(embedding[1]), 6) AS x FROM embeddings GROUP BY ALL), t AS (SELECT *, x = max(x) OVER (PARTITION BY variant) AS top FROM v)
+SELECT topic, min(x) AS low, round(quantile_cont(x, 0.5), 6) AS median, max(x) AS high, count(*) FILTER (top) AS tops FROM t GROUP BY topic""")
+def sensitivity_summary(spark, folder):
+    from signalweave.operators import topics
+
+    e = table(spark, folder, "embeddings")
+    v = e.groupBy(F.col("label").alias("topic"), (F.col("vec_id") % 4).alias("variant")).agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("x"))
+    return topics.sensitivity(v, "topic", "variant", "x").select("topic", "low", F.round("median", 6).alias("median"), "high", "tops")

@@ -96,3 +96,35 @@ def densify_days(views: DataFrame, day: str, value: str, since: str, until: str)
 def syndication(articles: DataFrame, url: str, domain: str, fingerprint: str) -> DataFrame:
     """Stories: articles of one fingerprint once a URL, with how many and from which domains."""
     return articles.dropDuplicates([url]).groupBy(fingerprint).agg(F.count("*").alias("articles"), F.count_distinct(domain).alias("domains"), F.array_sort(F.collect_set(domain)).alias("domain_list"))
+
+
+#: Words that do not tell what a title is about.
+COMMON = ["a", "an", "and", "for", "from", "in", "new", "of", "on", "or", "the", "to", "with"]
+
+
+def relevance_words(text: Column) -> Column:
+    """Different words of a text without common ones, plural -s folded on words over three letters."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+", " "), " "), lambda w: (w != "") & ~w.isin(COMMON))
+    return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w)))
+
+
+def admitted(items: DataFrame, topic_words: Column, as_of: str, required: int = 2) -> DataFrame:
+    """``items`` with ``reason`` (null if taken up) and ``matched``: the first rule that excludes decides.
+
+    Columns: item, axis, title, url, day, fresh, repeated. Rules in order: a stale
+    answer, no safe link, a repeat that the source names, too few words of the
+    topic in the title, no date, a date ahead, and a story that an earlier item
+    already told (the same words of a title count once).
+    """
+    from signalweave.functions.text import url_host
+
+    t = items.withColumn("matched", F.array_sort(F.array_intersect(relevance_words(F.col("title")), topic_words)))
+    day = F.col("day")
+    reason = (
+        F.when(~F.coalesce("fresh", F.lit(False)), "stale_answer").when(url_host(F.col("url")).isNull(), "no_safe_link").when(F.coalesce("repeated", F.lit(False)), "repeated_by_source")
+        .when(F.size("matched") < required, "too_few_topic_words").when(day.isNull(), "no_date").when(day > F.lit(as_of).cast("date"), "date_ahead")
+    )
+    story = F.array_join(F.array_sort(relevance_words(F.col("title"))), " ")
+    t = t.withColumns({"reason": reason, "_story": story})
+    told = F.row_number().over(W.partitionBy("axis", "_story", F.col("reason").isNull()).orderBy("item"))
+    return t.withColumn("reason", F.when(F.col("reason").isNull() & (told > 1), "story_told_before").otherwise(F.col("reason"))).drop("_story")

@@ -123,3 +123,25 @@ def test_temporal_neighbours_never_look_ahead(spark):
         ok = [j for j in range(40) if (rows[j][1], j) < (rows[i][1], i) and rows[i][1] - rows[j][1] <= 35]
         want = sorted(ok, key=lambda j: (-round(float(u[i] @ u[j]), 9), j))[:3]
         assert [r.near for r in sorted((r for r in got if r.id == i), key=lambda r: r.rank)] == want
+
+
+def test_acronyms_labels_and_identity(spark):
+    t = spark.createDataFrame([(1, "Graph neural networks (GNN)", "use of graph neural networks (GNN) and large models (LM)"), (2, "Gas (GNN)", "x"), (3, "deep nets (DN)", "dark night (DN)"), (4, None, "state of the art (SA)")], "id long, t string, a string")
+    assert {(r.id, r.acronym): (r.long_form, r.definitions) for r in phrases.acronyms(t, "id", ["t", "a"]).collect()} == {(1, "GNN"): ("graph neural networks", 2), (1, "LM"): ("large models", 1), (4, "SA"): ("state of the art", 1)}
+    terms = spark.createDataFrame([(1, "Robots", 9), (1, "soft robot", 5), (1, "gripper", 5), (2, "robots", 3)], "topic int, term string, n int")
+    assert [tuple(r) for r in phrases.topic_labels(terms, "topic", "term", "n", ["robots"]).collect()] == [(1, "soft robot", 5)]
+    r = spark.createDataFrame([("https://doi.org/10.48550/arXiv.2401.00001", ["http://arxiv.org/abs/2401.00002v1"]), (None, ["https://arxiv.org/pdf/2401.00003.pdf", "x"]), ("10.1/x", None)], "d string, l array<string>")
+    assert [tuple(x.i) for x in r.select(identity.arxiv_identity(F.col("d"), F.col("l")).alias("i")).collect()] == [("2401.00001", ["2401.00002"], True), ("2401.00003", ["2401.00003"], False), (None, [], False)]
+
+
+def test_status_and_admission(spark):
+    from signalweave.operators.review import withdrawal_status
+    from signalweave.sources.evidence import admitted
+
+    t = spark.createDataFrame([("This paper has been withdrawn", None, None), (None, "ok", True), ("reply to a withdrawn paper", "x" * 300 + " is withdrawn", None)], "c string, s string, r boolean")
+    assert [x.s for x in t.select(withdrawal_status(F.col("c"), F.col("s"), F.col("r")).alias("s")).collect()] == ["withdrawn", "retracted", "not_reported"]
+    day, ok = date(2024, 1, 1), "https://x.org/a"
+    rows = [(1, "Soft robots grip", ok, day, True, False), (2, "Grip: soft robot", ok, day, True, False), (3, "Soft robots", ok, None, True, False), (4, "Soft robots", ok, date(2030, 1, 1), True, False), (5, "Other", ok, day, True, False), (6, "Soft robots", "ftp://x", day, True, False), (7, "Soft robots", ok, day, False, False), (8, "Soft robots", ok, day, True, True)]
+    items = spark.createDataFrame([(r[0], "market", *r[1:]) for r in rows], "item int, axis string, title string, url string, day date, fresh boolean, repeated boolean")
+    got = {r.item: r.reason for r in admitted(items, F.array(F.lit("soft"), F.lit("robot")), "2025-01-01").collect()}
+    assert got == {1: None, 2: "story_told_before", 3: "no_date", 4: "date_ahead", 5: "too_few_topic_words", 6: "no_safe_link", 7: "stale_answer", 8: "repeated_by_source"}
