@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {
     "op1_minhash_neardup": neardup.OP1_SQL,
     "op5_license_scan": licenses.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
+    "op7_suffix_dedup": suffix.OP7_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
 }

@@ -300,3 +300,17 @@ def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeated_text(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM d, unnest(range(1, n - 398)) AS t(i) WHERE n >= 400
+), s AS (SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)
+), g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM s
+), sp AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k
+), pc AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM sp
+  UNION ALL SELECT doc_id, 9000000000, max(z) + 1, NULL FROM sp GROUP BY doc_id
+), kept AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(CASE WHEN f <= coalesce(t, n) THEN hex(array_slice(b, f, coalesce(t, n))) ELSE '' END, '' ORDER BY a), ''))) AS sha FROM pc JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
