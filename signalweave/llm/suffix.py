@@ -117,7 +117,7 @@ def _texts(batch: pa.RecordBatch, length: int, limit: int) -> Iterator[tuple[byt
 
 
 def anchor_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, tx, at, near, far, bucket, around): runs of starts ``at - far`` to ``at - near`` and ids of their bucket and surroundings.
+    """(doc_id, tx, at, more, near, far, bucket, around): runs of starts ``at - far`` to ``at - near`` and ids of their bucket and surroundings.
 
     Texts longer than a chunk are cut where starts end, so that no start is lost.
     """
@@ -128,15 +128,23 @@ def anchor_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         if not made:
             made.append(Anchors(length, gram))
-        names = ["doc_id", "tx", "at", "near", "far", "bucket", "around"]
+        names = ["doc_id", "tx", "at", "more", "near", "far", "bucket", "around"]
         for batch in batches:
             for data, rows, first, count, add in _texts(batch, length, CHUNK_BYTES):
                 text, anchor, low, high, bucket = made[0].runs(data, first, count)
                 around = np.fromiter((xxh3_64_intdigest(data[i : j + length]) for i, j in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low)).view(np.int64)
+                order = np.lexsort((anchor, around, anchor - low, anchor - high, bucket, text))
+                text, anchor, low, high, bucket, around = (x[order] for x in (text, anchor, low, high, bucket, around))
+                near, far = anchor - high, anchor - low
+                new = np.r_[True, (np.diff(text) != 0) | (np.diff(bucket) != 0) | (np.diff(near) != 0) | (np.diff(far) != 0) | (np.diff(around) != 0)]
+                first_of = np.flatnonzero(new)
+                # A text that repeats itself has many equal runs: one row stands for them and lists the other places.
+                others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.diff(np.r_[first_of, len(new)]) - 1)].astype(np.int32)), pa.array((anchor + add[text])[~new]))
+                text, anchor = text[first_of], anchor[first_of]
                 row = pa.array(np.array(rows)[text])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(anchor + add[text]), pa.array((anchor - high).astype(np.int32)), pa.array((anchor - low).astype(np.int32)), pa.array(bucket), pa.array(around)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(anchor + add[text]), others, pa.array(near[first_of].astype(np.int32)), pa.array(far[first_of].astype(np.int32)), pa.array(bucket[first_of]), pa.array(around[first_of])], names=names)
 
-    return docs.select("doc_id", "text", "tx").mapInArrow(read, "doc_id long, tx long, at long, near int, far int, bucket long, around long")
+    return docs.select("doc_id", "text", "tx").mapInArrow(read, "doc_id long, tx long, at long, more array<long>, near int, far int, bucket long, around long")
 
 
 def _fringes(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -183,9 +191,14 @@ def _kept(docs: DataFrame, length: int, want_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "tx", "spans").mapInArrow(read, "doc_id long, tx long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
+def _weight(rows: DataFrame) -> Column:
+    """How many runs a row stands for."""
+    return F.size("more") + 1 if "more" in rows.columns else F.lit(1)
+
+
 def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose bucket holds another one: a narrow combinable count first, then the rows that it leaves."""
-    return rows.join(rows.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), key)
+    return rows.join(rows.groupBy(*key).agg(F.sum(_weight(rows)).alias("rows")).where("rows > 1").drop("rows"), key)
 
 
 def _settle(rows: DataFrame, key: list[str], around: list[str]) -> DataFrame:
@@ -193,7 +206,7 @@ def _settle(rows: DataFrame, key: list[str], around: list[str]) -> DataFrame:
 
     Of rows with equal surroundings one stays, settled, for others to meet.
     """
-    each = rows.groupBy(*key, *around).agg(F.count("*").alias("same"), F.min(F.xxhash64("doc_id", "tx", "at")).alias("one"))
+    each = rows.groupBy(*key, *around).agg(F.sum(_weight(rows)).alias("same"), F.min(F.xxhash64("doc_id", "tx", "at")).alias("one"))
     kinds = each.groupBy(*key).agg(F.count("*").alias("kinds"))
     met = rows.join(each.join(kinds, key), [*key, *around])
     repeated = F.col("same") > 1
@@ -232,7 +245,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, f
     runs = scratch.save(anchor_runs(docs, length, gram), "runs")
     shared = scratch.save(_shared(runs, ["bucket"]).withColumn("settled", F.lit(False)), "shared")
     scratch.drop("runs")
-    listed = _settle(shared, ["bucket"], ["near", "far", "around"]).where("repeated or open").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("at", "near", "far", "bucket", "settled", "repeated", "open")).alias("runs"))
+    listed = _settle(shared, ["bucket"], ["near", "far", "around"]).where("repeated or open").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("at", "more", "near", "far", "bucket", "settled", "repeated", "open")).alias("runs"))
     listed = scratch.save(listed, "listed")
     scratch.drop("shared")
     # Texts without any such run stay where they are, if the hashes of the others are few.
@@ -240,7 +253,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, f
     met = some.alias("d").join(listed.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tx") == F.col("r.tx")))
     pending = scratch.save(met.select("d.doc_id", "d.text", "d.tx", "r.runs"), "pending")
     scratch.drop("listed")
-    found = pending.select("doc_id", "tx", F.explode(F.filter("runs", lambda r: r["repeated"])).alias("r")).select("doc_id", "tx", (F.col("r.at") - F.col("r.far")).alias("low"), (F.col("r.at") - F.col("r.near")).alias("high"))
+    found = pending.select("doc_id", "tx", F.explode(F.filter("runs", lambda r: r["repeated"])).alias("r")).select("doc_id", "tx", F.concat(F.array("r.at"), "r.more").alias("ats"), "r.near", "r.far").select("doc_id", "tx", F.explode("ats").alias("at"), "near", "far").select("doc_id", "tx", (F.col("at") - F.col("far")).alias("low"), (F.col("at") - F.col("near")).alias("high"))
     todo = _fringes(pending.withColumn("runs", F.filter("runs", lambda r: r["open"])).where("size(runs) > 0"), length, gram)
     rows = scratch.save(todo.withColumns({"band": F.lit(0), "b1": F.col("bucket"), "b2": F.col("bucket")}).drop("bucket"), "rims_0")
     width, n, all_found = length - gram + 1, 0, [found]
