@@ -26,7 +26,7 @@ from .graph import components_bounded as components
 #: Words of a shingle, orders, values of an order, shared values of a candidate.
 SHINGLE, TREES, DEPTH, FLOOR = 5, 16, 6, 2
 #: Neighbours of the first round; of the rounds in dense regions; candidates a text may offer in a round.
-NEAR, WIDE, OFFERS = 2, 256, 8
+NEAR, WIDE, OFFERS = 2, 96, 16
 #: Links need 100 * intersection >= PERCENT * union; candidates need this share of equal signature values, four
 #: standard deviations under 0.75.
 PERCENT, LIKELY = 75, 0.57
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         member, tested = _merged(member, more, scratch, f"{n}"), tested.unionByName(more)
         if not offered.where("kind = 1").limit(1).count():
             break
-        offers *= 8
+        offers *= 32
     of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     of_class = scratch.save(of_class, "of_class")
     rows = scratch.save(seen.select("doc_id", "n_shingles", "s1", "s2"), "rows")
