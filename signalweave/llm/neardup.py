@@ -6,8 +6,10 @@ are the neighbours that share the longest prefixes with it, down to
 ``FLOOR`` values. So depth adapts to the region: where few texts lie, short
 prefixes are enough; where many do, neighbours share long ones. Texts that a
 dense region leaves unlinked are asked again there with far more neighbours, in
-rounds, until nothing untested is left. Candidates are confirmed on full sets,
-and only those that join different components.
+rounds. Regions that are wider than these windows and hold several components
+are then compared as a whole, block by block, until nothing untested is left.
+Candidates are confirmed on full sets, and only those that join different
+components.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ NEAR, WIDE, OFFERS = 2, 96, 16
 PERCENT, LIKELY = 75, 0.57
 #: Values of the sharper signatures of dense regions, and the share of them that candidates need there.
 SHARP, LIKELY_DENSE = 512, 0.69
+#: Texts of a block that asks and of a block that is asked where regions are compared as a whole.
+ASKING, ASKED = 512, 2048
 #: Ids up to which the texts that take part in candidates are found by a broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -237,6 +241,50 @@ def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor:
     return found
 
 
+def _unmet(rows: DataFrame, scratch: Scratch, name: str, reach: int, floor: int, offers: int) -> DataFrame:
+    """Pairs of different components in whole regions: rows that share ``floor`` values, more than ``reach`` apart or not.
+
+    ``rows`` as in ``_neighbours``. Only regions of over ``reach`` + 1 rows and several
+    components count. In each, the rows of the largest component only answer; all
+    others ask every row. Both are dealt in blocks and each pair of blocks meets
+    in a group of its own, so that no region lies in one task. Returns (kind, a, b):
+    pairs that look alike (kind 0), at most ``offers`` for a text that asks a block,
+    and texts that have more to ask (kind 1: a).
+    """
+    rows = rows.withColumn("region", F.expr(f"substring(key, 1, {4 * floor})")).drop("key")
+    parts = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("n"))
+    regions = parts.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("host"))
+    blocks = F.ceil((F.col("n") - F.col("host.n")) / ASKING).cast("int").alias("asking"), F.ceil(F.col("n") / ASKED).cast("int").alias("asked")
+    regions = scratch.save(regions.where(f"comps > 1 and n > {reach + 1}").select("tree", "region", F.col("host.comp").alias("host"), *blocks), f"{name}_regions")
+    met = rows.join(broadcast_if_small(regions, BROADCAST_IDS), ["tree", "region"]).withColumn("free", F.col("comp") == F.col("host"))
+    columns = ["tree", "region", "p", "q", "asks", "id", "comp", "size", "free", "sig"]
+    mine, all_of = F.xxhash64("id", F.lit(1)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = met.where("not free").withColumns({"p": F.pmod(mine, F.col("asking")).cast("int"), "asks": F.lit(True)}).withColumn("q", all_of("asked"))
+    answer = met.withColumns({"q": F.pmod(mine, F.col("asked")).cast("int"), "asks": F.lit(False)}).withColumn("p", all_of("asking"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, comps, sizes, free, asks = (t[c].to_numpy() for c in ("id", "comp", "size", "free", "asks"))
+        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        other, kinds, a, b = np.flatnonzero(~asks), [], [], []
+        there = sigs[other]
+        for i in np.flatnonzero(asks):
+            # Of two that could ask each other, the one of the smaller component does.
+            may = (comps[other] != comps[i]) & (free[other] | (sizes[i] < sizes[other]) | ((sizes[i] == sizes[other]) & (ids[i] > ids[other])))
+            at = np.flatnonzero(may)
+            like = (there[at] == sigs[i]).mean(axis=1)
+            at, like = at[like >= LIKELY_DENSE], like[like >= LIKELY_DENSE]
+            best = other[at[np.lexsort((ids[other[at]], -like))]]
+            more = [-1] if len(best) > offers else []
+            best = best[:offers]
+            kinds += [0] * len(best) + [1] * len(more)
+            a += np.minimum(ids[i], ids[best]).tolist() + [int(ids[i])] * len(more)
+            b += np.maximum(ids[i], ids[best]).tolist() + [None] * len(more)
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    both = ask.select(*columns).unionByName(answer.select(*columns))
+    return scratch.save(both.groupBy("tree", "region", "p", "q").applyInArrow(compare, "kind int, a long, b long"), name)
+
+
 def _sorted(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
@@ -357,22 +405,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     more = scratch.save(_confirm(crossing, sets, percent), "tested_1")
     member, tested, n, offers = _merged(member, more, scratch, "1"), tested.unionByName(more), 1, OFFERS
 
-    # Dense regions offer every likely pair of different components; only rows that hold some back make another round.
+    # Dense regions offer every likely pair of different components, within windows and then in whole regions; only
+    # rows that hold some back make another round.
     regions = bool(dense.limit(1).count())
     if regions:
         sharp = scratch.save(sigs.select("id", "sig").join(sharp_signatures(sets), "id").join(dense, "id"), "sharp")
+        # Windows meet across one seam; where tasks hold few rows, regions of any width are compared as a whole.
+        reach = WIDE if sharp.count() * trees >= 4 * WIDE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    whole = False
     while regions:
         n += 1
         sized = member.join(member.groupBy("component").agg(F.count("*").alias("of")), "component").withColumnRenamed("node", "id")
         now = sharp.join(sized, "id", "left").select("id", "sig", "sharp", F.coalesce("component", "id").alias("comp"), F.coalesce("of", F.lit(1)).cast("long").alias("size"))
-        offered = _neighbours(_sorted(_ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)), scratch, f"offered_{n}", WIDE, FLOOR, depth, offers)
+        ordered = _ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)
+        offered = _unmet(ordered, scratch, f"offered_{n}", reach, FLOOR, offers) if whole else _neighbours(_sorted(ordered), scratch, f"offered_{n}", WIDE, FLOOR, depth, offers)
         scratch.drop(f"dense_{n}")
         fresh = offered.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = scratch.save(_confirm(fresh, sets, percent), f"tested_{n}")
         member, tested = _merged(member, more, scratch, f"{n}"), tested.unionByName(more)
-        if not offered.where("kind = 1").limit(1).count():
+        if offered.where("kind = 1").limit(1).count():
+            offers *= 32
+        elif whole:
             break
-        offers *= 32
+        else:
+            whole, offers = True, OFFERS
     of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     of_class = scratch.save(of_class, "of_class")
     rows = scratch.save(seen.select("doc_id", "n_shingles", "s1", "s2"), "rows")

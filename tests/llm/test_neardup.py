@@ -71,6 +71,20 @@ def test_large_group_with_outliers(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows)
 
 
+def test_regions_wider_than_the_windows(spark):
+    """Copies that lie further apart than the windows reach: keys are equal there, so that ids alone order them."""
+    r = random.Random(8)
+    core, rows = [f"c{i}" for i in range(100)], []
+    for k in range(300):
+        own = [f"o{k}_{i}" for i in range(40)]
+        rows += [(k, " ".join(core + own)), (1000 + k, " ".join(core + own[:-1] + [f"y{k}"]))]
+    want = brute(rows)
+    assert len({v[1] for v in want.values()}) == 300
+    r.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), trees=2, depth=2)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == want
+
+
 def test_nulls_blanks_ties_repeats_and_extra_columns(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "a b"), (9, "A  b"), (10, "b a"), (11, "x " * 3000), (12, "x " * 2000), (12, "x " * 2000)]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], SCHEMA + ", kept int, component_id int")
