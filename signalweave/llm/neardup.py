@@ -32,8 +32,9 @@ NEAR, WIDE, OFFERS = 2, 96, 16
 #: Links need 100 * intersection >= PERCENT * union; candidates need this share of equal signature values, four
 #: standard deviations under 0.75.
 PERCENT, LIKELY = 75, 0.57
-#: Values of the sharper signatures of dense regions, and the share of them that candidates need there.
-SHARP, LIKELY_DENSE = 512, 0.69
+#: Values of the sharper signatures of dense regions, and the share of them that candidates need there, four standard
+#: deviations under 0.75.
+SHARP, LIKELY_DENSE = 512, 0.67
 #: Texts of a block that asks and of a block that is asked where regions are compared as a whole.
 ASKING, ASKED = 512, 2048
 #: Ids up to which the texts that take part in candidates are found by a broadcast.

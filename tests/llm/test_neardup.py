@@ -85,6 +85,12 @@ def test_regions_wider_than_the_windows(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == want
 
 
+def test_sharp_filter_lets_links_through():
+    """Four standard deviations between a link and the filter of dense regions; one byte in 256 is equal by chance."""
+    equal = 0.75 + 0.25 / 256
+    assert neardup.LIKELY_DENSE <= equal - 4 * (equal * (1 - equal) / neardup.SHARP) ** 0.5
+
+
 def test_nulls_blanks_ties_repeats_and_extra_columns(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "a b"), (9, "A  b"), (10, "b a"), (11, "x " * 3000), (12, "x " * 2000), (12, "x " * 2000)]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], SCHEMA + ", kept int, component_id int")
