@@ -200,7 +200,7 @@ def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor:
         if len(lo):
             once = np.unique(np.stack([lo, hi]), axis=1)
             yield out(0, once[0], once[1])
-        if beyond.any() and (dense or split is None):
+        if beyond.any():
             yield out(1, np.unique(ids[beyond]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

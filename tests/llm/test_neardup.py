@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from signalweave.llm import neardup
+from signalweave.storage import Scratch
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,6 +86,20 @@ def test_regions_wider_than_the_windows(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == want
 
 
+def test_regions_cut_by_a_seam_are_dense(spark):
+    """Four close prefixes in two batches of two rows."""
+    rows = spark.createDataFrame([(0, bytes(8), i, i, 1, None) for i in range(4)], "tree int, key binary, id long, comp long, size long, sig binary")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, 2)
+    try:
+        got = neardup._neighbours(rows.coalesce(1).sortWithinPartitions("id"), Scratch(spark, "test"), "seam", 2, 2, 2).collect()
+    finally:
+        spark.conf.set(size, was)
+    assert {r.a for r in got if r.kind == 1} == {0, 1, 2, 3}
+    assert {(r.a, r.b) for r in got if r.kind == 0} == {(0, 1), (1, 2), (2, 3), (0, 2), (1, 3)}
+
+
 def test_sharp_filter_lets_links_through():
     """Four standard deviations between a link and the filter of dense regions; one byte in 256 is equal by chance."""
     equal = 0.75 + 0.25 / 256
