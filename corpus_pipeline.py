@@ -15,6 +15,9 @@ from signalweave.llm.common import Scratch, broadcast_if_small, table
 
 #: Ids up to which the documents to leave out are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Words of a repeated passage that goes ("over 50"); bytes under which such a passage is met by its hash (about one in
+#: a hundred has fewer, in any of the four languages); parts of a run, so that two rounds settle the rest.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_FAN = 51, 245, 14
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -33,8 +36,8 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that others repeat; those of which nothing is left go."""
-    cut = suffix.repeated_text(docs, want_text=True)
+    """Documents without repeated passages of over 50 words (or op7's 400 bytes); those of which nothing is left go."""
+    cut = suffix.repeated_text(docs, PASSAGE_BYTES, fan=PASSAGE_FAN, want_text=True, words=PASSAGE_WORDS)
     out = cut.where("n_removed = 0 or trim(kept_text) <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars").cast("long"))

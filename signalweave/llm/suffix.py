@@ -21,6 +21,7 @@ Three things keep this in proportion to the input:
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,8 +168,46 @@ def _fringes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text", "tx", "runs").mapInArrow(read, "doc_id long, tx long, at long, near int, far int, bucket long, settled boolean, lb binary, rb binary")
 
 
-def _kept(docs: DataFrame, length: int, want_text: bool) -> DataFrame:
-    """Texts without the bytes of their repeated strings; ``spans``: first and last start of each run of them."""
+def _whole_words(raw: bytes, low: int, high: int) -> int:
+    """Words of ``raw`` that lie in ``low`` to ``high`` as a whole."""
+    part = raw[low:high]
+    cut = [low > 0 and not raw[low - 1 : low].isspace() and not part[:1].isspace(), high < len(raw) and not raw[high : high + 1].isspace() and not part[-1:].isspace()]
+    return max(0, len(part.split()) - sum(cut))
+
+
+def short_passages(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(doc_id, tx, h1, h2, spans): passages of ``words`` words under ``length`` bytes, one row for all places in a text.
+
+    ``spans`` are as those of runs of starts: ``high`` + ``length`` is the passage's end.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        names, spans = ["doc_id", "tx", "h1", "h2", "spans"], pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+        for batch in batches:
+            for i, value in enumerate(batch.column(1)):
+                raw = text_bytes(value.as_py())
+                at = np.array([m.span() for m in re.finditer(rb"\S+", raw)], np.int64).reshape(-1, 2)
+                if len(at) < words:
+                    continue
+                low, end = at[: len(at) - words + 1, 0], at[words - 1 :, 1]
+                short = np.flatnonzero(end - low < length)
+                found: dict[bytes, list[dict[str, int]]] = {}
+                for a, b in zip(low[short].tolist(), end[short].tolist(), strict=True):
+                    found.setdefault(xxh3_128_digest(raw[a:b]), []).append({"low": a, "high": b - length})
+                keys = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                take = pa.array([i] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(found.values()), spans)], names=names)
+
+    return docs.select("doc_id", "text", "tx").mapInArrow(read, "doc_id long, tx long, h1 long, h2 long, spans array<struct<low:long,high:long>>")
+
+
+def _kept(docs: DataFrame, length: int, want_text: bool, words: int | None = None) -> DataFrame:
+    """Texts without the bytes of their repeated strings; ``spans``: first and last start of each run of them.
+
+    With ``words``, a stretch of them goes only if it has that many whole words or ``LENGTH`` bytes.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +219,8 @@ def _kept(docs: DataFrame, length: int, want_text: bool) -> DataFrame:
                         spans[-1][1] = max(spans[-1][1], high + length)
                     else:
                         spans.append([low, high + length])
+                if words:
+                    spans = [s for s in spans if s[1] - s[0] >= LENGTH or _whole_words(raw, *s) >= words]
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 removed.append(len(raw) - len(left))
@@ -273,7 +314,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, f
     return pending, out
 
 
-def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST_GRAM, fan: int = FAN, want_text: bool = False) -> DataFrame:
+def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST_GRAM, fan: int = FAN, want_text: bool = False, words: int | None = None) -> DataFrame:
     """Each document without the bytes that any string of ``length`` bytes repeated elsewhere covers.
 
     Returns the input's columns and n_bytes, n_removed, n_spans, kept_sha256 and,
@@ -281,15 +322,26 @@ def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST
     are judged on the input; one may repeat in its own text; none crosses texts.
     Null and short texts keep all. Repeated rows remove each other's bytes and
     each stay as a row. Input columns with the names of results are replaced.
+
+    With ``words``, every repeated passage of that many words goes, however few its
+    bytes, and so does what is repeated over ``LENGTH`` bytes; shorter stretches of
+    fewer words stay. Passages under ``length`` bytes, which are rare, are met by
+    their hashes, all others by their strings of ``length`` bytes.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     docs = docs.drop(*results).withColumn("_sw_tx", F.xxhash64("text"))
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("_sw_tx").alias("tx"))
     pending, spans = repeated_starts(slim, scratch, length, gram_size(length, least_gram, fan), fan)
+    if words:
+        short = scratch.save(short_passages(slim, words, length), "short")
+        often = short.groupBy("h1", "h2").agg(F.sum(F.size("spans")).alias("places")).where("places > 1").select("h1", "h2")
+        again = short.join(broadcast_if_small(often, BROADCAST_TEXTS), ["h1", "h2"]).select("doc_id", "tx", F.explode("spans").alias("s")).select("doc_id", "tx", "s.low", "s.high")
+        spans = scratch.save(spans.unionAll(again), "spans")
+        pending = slim.join(broadcast_if_small(spans.select("tx").distinct(), BROADCAST_TEXTS), "tx", "left_semi")
     per = spans.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     with_spans = pending.alias("p").join(per.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.tx") == F.col("s.tx"))).select("p.doc_id", "p.text", "p.tx", "s.spans")
-    done = scratch.save(_kept(with_spans, length, want_text), "kept").dropDuplicates(["doc_id", "tx"])
+    done = scratch.save(_kept(with_spans, length, want_text, words), "kept").dropDuplicates(["doc_id", "tx"])
     scratch.keep("kept")
     raw = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.withColumns({"n_bytes": F.length(raw).cast("long"), "_sw_sha": F.sha2(raw, 256)})

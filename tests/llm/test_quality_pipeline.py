@@ -56,3 +56,24 @@ def test_pipeline(spark):
     assert pipeline.good(spark, docs, DATA).columns == docs.columns
     pieces = pipeline.packed(spark, docs, DATA).collect()
     assert {x.doc_id for x in pieces} == {1, 2, 3, 4, 5, 6}
+
+
+def test_pipeline_removes_passages_of_over_50_words(spark):
+    """Of 51 to 60 words of any length; 50 words and clean documents stay whole."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(6)
+    text = lambda n, size: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+    rows, passages = [], {}
+    for k, (n, size) in enumerate([(51, 1), (51, 2), (51, 4), (53, 5), (60, 5), (50, 1), (50, 3), (50, 6)]):
+        passages[k] = (n, text(n, size))
+        rows += [(10 * k + i, f"{text(70, 6)} {passages[k][1]} {text(70, 6)}") for i in range(2)]
+    rows += [(1000 + i, text(200, 6)) for i in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x for x in pipeline.unrepeated(spark, docs, DATA).collect()}
+    for i, t in rows:
+        n, passage = passages.get(i // 10, (0, ""))
+        if n > 50:
+            assert passage not in got[i].text and len(t) - len(passage) - 4 <= len(got[i].text) <= len(t) - len(passage)
+            assert got[i].n_chars == len(got[i].text)
+        else:
+            assert got[i].text == t
