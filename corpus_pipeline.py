@@ -54,7 +54,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences."""
     import public_tokenizers
 
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -69,15 +70,17 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def tokenizer(path: str):
-    """The byte-level BPE of a tokenizer file; control strings in texts are ordinary text."""
+def tokenizer(path: str, added: bool = False):
+    """The byte-level BPE of a tokenizer file; its added tokens in texts are their own ids with ``added``, else ordinary text."""
     import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])} if added else {}
     ranks = byte_vocabulary(path)
-    return tiktoken.Encoding("corpus", pat_str=PIECES, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=PIECES, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens=special)
 
 
-def token_pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, window: int, end_id: int, added: bool = False) -> DataFrame:
     """Each document's ids and the end id, cut in full windows and a rest: doc_id, start, length, ids_crc32, doc_tokens.
 
     Map-only: ids never leave the worker, only lengths and check sums do.
@@ -86,11 +89,11 @@ def token_pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFr
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            made.append(tokenizer(path))
+            made.append(tokenizer(path, added))
         for batch in batches:
             docs_at, start, length, crc, total = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                ids = np.array([*made[0].encode_ordinary(text_bytes(value.as_py()).decode("utf-8", "replace")), end_id], "<u4")
+                ids = np.array([*made[0].encode(text_bytes(value.as_py()).decode("utf-8", "replace"), allowed_special="all"), end_id], "<u4")
                 for s in range(0, len(ids), window):
                     part = ids[s : s + window]
                     docs_at.append(i)
@@ -147,16 +150,17 @@ def pack(pieces: DataFrame, window: int = 2048, parts: int | None = None) -> Dat
     return dealt.select(*names).mapInArrow(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, added: bool = False) -> DataFrame:
     """Documents as pieces of packed sequences.
 
     Null and empty texts are one piece holding the end id alone. Repeated rows
-    each get pieces of their own.
+    each get pieces of their own. With ``added``, added tokens in a text are their
+    own ids, as ``tokenizers`` gives it by default.
     """
-    return pack(token_pieces(docs, path, window, end_id), window)
+    return pack(token_pieces(docs, path, window, end_id, added), window)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)

@@ -103,6 +103,19 @@ def test_packed_documents_hold_each_id_once(spark):
         assert at <= 256
 
 
+def test_the_query_gives_the_added_token_its_id(spark, tmp_path):
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [*TEXTS, (7, "x <|endoftext|> y"), (8, "<|endoftext|><|endoftext|>"), (9, "a<|endoftext|>\n b <|endoftext| >")]
+    spark.createDataFrame(texts, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in packing.op3_packing(spark, str(tmp_path)).collect() if r.start == 0}
+    assert tok.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    for i, t in texts:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids[:2048], "<u4").tobytes()))
+
+
 def greedy(word, initial, inner):
     n = at = 0
     while at < len(word):
