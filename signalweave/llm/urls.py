@@ -38,15 +38,40 @@ def canonical(url: Column) -> Column:
     return F.when(host(url) != "", F.concat(bare, stem, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def undotted(path_at: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; ``..`` does not go above the root."""
+    parts = F.split(path_at, "/")
+    # A last dot segment names a folder.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    parts = F.slice(parts, 2, F.size(parts))
+    step = lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst) URLs: canonical links and refresh redirects in ``html``; relative targets are taken on the page's host."""
+    """(src, dst) URLs: canonical links and refresh redirects in ``html``; relative targets are taken on the page's URL."""
     tag = r"(?is)<(?:link|meta)\b[^>]*>"
     tags = pages.select("url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(tag), F.lit(0))).alias("tag"))
     canon = F.when(F.col("tag").rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     moved = F.when(F.col("tag").rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     found = tags.select(F.col("url").alias("src"), F.explode(F.array_compact(F.array(canon, moved))).alias("dst")).where("dst <> ''")
-    scheme = F.regexp_extract("src", r"(?s)^(.*?)://", 1)
-    return found.select("src", F.when(F.col("dst").contains("://"), F.col("dst")).when(F.col("dst").startswith("//"), F.concat(scheme, F.lit(":"), "dst")).when(F.col("dst").startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("src")), "dst")).alias("dst")).where("dst is not null")
+    src, dst = F.col("src"), F.col("dst")
+    scheme = F.regexp_extract(src, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host(src))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(src), r"(?s)^/(.*/)?", 1))
+    stem = F.regexp_extract(dst, r"(?s)^[^?#]*", 0)
+    page = F.regexp_extract(src, r"(?s)^[^?#]*", 0)
+    target = (
+        F.when(dst.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), dst)
+        .when(dst.startswith("//"), F.concat(scheme, F.lit(":"), dst))
+        .when(host(src) == "", None)
+        .when(dst.startswith("/"), F.concat(site, dst))
+        .when(dst.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(dst.startswith("?"), F.concat(page, dst))
+        .when(dst.startswith("#"), None)
+        .otherwise(F.concat(site, undotted(F.concat(folder, stem)), F.expr("substring(dst, length(regexp_extract(dst, '(?s)^[^?#]*', 0)) + 1)")))
+    )
+    return found.select("src", target.alias("dst")).where("dst is not null")
 
 
 def best_rule(host_at: Column, path_at: Column, rules: list[tuple[str, str, str]]) -> Column:

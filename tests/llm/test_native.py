@@ -83,6 +83,19 @@ def test_url_rules_and_aliases(spark):
     assert urls.judged(spark.createDataFrame([], df.schema), urls.RULES).count() == 0
 
 
+def test_relative_link_targets(spark):
+    want = {"page.html": "http://h.io/a/b/page.html", "../x?y#z": "http://h.io/a/x?y#z", "?id=2": "http://h.io/a/b/c?id=2", "./": "http://h.io/a/b/", "../../../..": "http://h.io/", "d/./e/../f": "http://h.io/a/b/d/f", "/r?u=http://o.io/": "http://h.io/r?u=http://o.io/", "//o.io/p": "http://o.io/p", "https://o.io/q": "https://o.io/q", "mailto:a@b.c": None, "g?u=http://o.io/": "http://h.io/a/b/g?u=http://o.io/"}
+    for k, (given, full) in enumerate(want.items()):
+        tag = f'<link rel="canonical" href="{given}">' if k % 2 else f'<meta http-equiv="refresh" content="0; url={given}">'
+        got = urls.links(spark.createDataFrame([(1, "http://h.io/a/b/c?old=1#top", tag)], "page_id long, url string, html string")).collect()
+        assert [r.dst for r in got] == ([full] if full else []), given
+    bare = urls.links(spark.createDataFrame([(1, "http://h.io", '<link rel=canonical href="p">')], "page_id long, url string, html string")).collect()
+    assert [r.dst for r in bare] == ["http://h.io/p"]
+    pages = [(1, "http://h.org/es/1", None), (2, "http://other.io/x/y", '<link rel="canonical" href="../z">'), (3, "http://other.io/z", '<link rel="canonical" href="http://h.org/es/1">')]
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), urls.RULES).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://a.com/x", 10, "response", {"ETag": '"1"', "Content-Type": "t", "X": "old"}, "one"), (2, "https://www.a.com/x/", 20, "response", {"ETag": '"2"', "Date": "d"}, "two"),
