@@ -9,34 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.storage import Scratch
+from signalweave.storage import Scratch, hot_join
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) for each end of ``edges`` (src, dst); component: its smallest node.
 
     Each round takes the least label among neighbours (a combinable minimum, so
-    that a node with very many links is pre-aggregated where its links lie) and
+    that a node with very many links is pre-aggregated where its links lie; the
+    labels of the few such nodes are broadcast to their links) and
     then jumps to the label's own label, so that paths shorten geometrically.
     Rounds end when no label changes; each is written to the shared folder.
     Self-links make single components; null ends are dropped.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null")
     both = scratch.save(edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}_edges")
-    labels = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), f"{name}_0")
+    labels = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"), F.count("*").alias("links")), f"{name}_0")
     n = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
+        near = hot_join(both, labels.select(F.col("node").alias("dst"), "component", "links"), ["dst"], "links").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"), "links")
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("top"))
         n += 1
-        rounds = scratch.save(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("top", "low")).alias("component"), "was"), f"{name}_{n}")
+        rounds = scratch.save(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("top", "low")).alias("component"), "was", "links"), f"{name}_{n}")
         moved = rounds.where("component <> was").limit(1).count()
-        labels = rounds.select("node", "component")
+        labels = rounds.drop("was")
         if n > 1:
             scratch.drop(f"{name}_{n - 2}")
         if not moved:
-            return labels
+            return labels.select("node", "component")
 
 
 #: Links up to which one task finds all components.

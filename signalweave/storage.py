@@ -25,12 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; only a local session that names none gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='signalweave-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='signalweave-')}"
 
 
 class Scratch:
@@ -66,3 +67,20 @@ class Scratch:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only after counting; beyond ``rows`` the join is left to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def hot_join(rows: DataFrame, small: DataFrame, key: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``small`` (one row a key: key, ``n``, ...), the hottest keys apart; ``n``: rows of the key.
+
+    A key that has more than a share of 1 in 4 x partitions of the rows can exist
+    at most 4 x partitions times, so these keys are broadcast and their rows stay
+    where they are; only rows of the others are shuffled. Both inputs are read
+    twice: give written tables.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(1, rows.count() // (4 * parts))
+    hot = small.where(F.col(n) > least)
+    if not hot.limit(1).count():
+        return rows.join(small, key)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(small.where(F.col(n) <= least), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
