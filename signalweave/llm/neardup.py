@@ -4,12 +4,10 @@ Every text's set of five-word shingles gets a MinHash signature, read in
 ``TREES`` orders of ``DEPTH`` values. Each order is sorted; a text's candidates
 are the neighbours that share the longest prefixes with it, down to
 ``FLOOR`` values. So depth adapts to the region: where few texts lie, short
-prefixes are enough; where many do, neighbours share long ones. Texts that a
-dense region leaves unlinked are asked again there with far more neighbours, in
-rounds. Regions that are wider than these windows and hold several components
-are then compared as a whole, block by block, until nothing untested is left.
-Candidates are confirmed on full sets, and only those that join different
-components.
+prefixes are enough; where many do, neighbours share long ones, and most texts
+find their component by these. Regions that go on beyond the neighbours and still
+hold several components are then compared as a whole at ``FLOOR`` values, in
+blocks and on full sets, so that no pair that shares a region goes untested.
 """
 
 from __future__ import annotations
@@ -27,16 +25,13 @@ from .graph import components_bounded as components
 
 #: Words of a shingle, orders, values of an order, shared values of a candidate.
 SHINGLE, TREES, DEPTH, FLOOR = 5, 16, 6, 2
-#: Neighbours of the first round; of the rounds in dense regions; candidates a text may offer in a round.
-NEAR, WIDE, OFFERS = 2, 96, 16
+#: Neighbours that each row is compared with at first.
+NEAR = 2
 #: Links need 100 * intersection >= PERCENT * union; candidates need this share of equal signature values, four
 #: standard deviations under 0.75.
 PERCENT, LIKELY = 75, 0.57
-#: Values of the sharper signatures of dense regions, and the share of them that candidates need there, four standard
-#: deviations under 0.75.
-SHARP, LIKELY_DENSE = 512, 0.67
-#: Texts of a block that asks and of a block that is asked where regions are compared as a whole.
-ASKING, ASKED = 512, 2048
+#: Rows and shingles of a block, at most (one text may have more shingles), where regions are compared as a whole.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Ids up to which the texts that take part in candidates are found by a broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -129,73 +124,49 @@ def _shared(keys: np.ndarray, step: int, tree: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), keys.shape[1], same.argmin(axis=1))
 
 
-def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor: int, depth: int, offers: int = 0) -> DataFrame:
+def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor: int, depth: int) -> DataFrame:
     """Pairs of neighbours in the sorted orders.
 
-    ``rows``: (tree, key, id, comp, size, sig), sorted over the cluster; each task sees a
-    run of the order. The last and first ``near`` rows of adjoining tasks are met
-    in a second step by the number of the task, so no pair is lost at the seams.
-    With ``offers``, the dense rounds, rows carry signatures, and only pairs of
-    different components that look alike are given. The row of the smaller
-    component asks; it gets no more than its ``offers`` likeliest, so that a few
-    outliers of a large group are not paired with all of it. Returns (kind, a, b):
-    pairs (kind 0), and rows (kind 1: a) whose region goes on beyond ``near`` or
-    that have more to ask.
+    ``rows``: (tree, key, id), sorted over the cluster; each task sees a run of the
+    order. The last and first ``near`` rows of adjoining tasks are met in a second
+    step by the number of the task, so no pair is lost at the seams. Returns
+    (kind, a, b): pairs (kind 0), and rows (kind 1: a) whose region goes on beyond
+    ``near``.
     """
-    dense = offers > 0
 
-    def pairs_of(tree, keys, ids, comps, sizes, sigs, split: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, like, beyond = [], [], [], np.zeros(len(ids), bool)
+    def pairs_of(tree, keys, ids, split: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, beyond = [np.zeros(0, int)], [np.zeros(0, int)], np.zeros(len(ids), bool)
         for step in range(1, min(near, len(ids) - 1) + 1):
             i = np.flatnonzero(_shared(keys, step, tree) >= floor)
-            if step == near and not dense:
+            if step == near:
                 beyond[i] = beyond[i + step] = True
             if split is not None:
                 i = i[(i < split) & (i + step >= split)]
-            i = i[(ids[i] != ids[i + step]) & ((comps[i] != comps[i + step]) | (not dense))]
-            if not len(i):
-                continue
-            j = i + step
-            if dense:
-                equal = (sigs[i] == sigs[j]).mean(axis=1)
-                i, j, equal = i[equal >= LIKELY_DENSE], j[equal >= LIKELY_DENSE], equal[equal >= LIKELY_DENSE]
-                swap = (sizes[i] > sizes[j]) | ((sizes[i] == sizes[j]) & (ids[i] < ids[j]))
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                like.append(equal)
+            i = i[ids[i] != ids[i + step]]
             a.append(i)
-            b.append(j)
-        if not a:
-            return np.zeros(0, int), np.zeros(0, int), beyond
-        a, b = np.concatenate(a), np.concatenate(b)
-        if dense:
-            order = np.lexsort((ids[b], -np.concatenate(like), a))
-            a, b = a[order], b[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            beyond[a[rank >= offers]] = True
-            a, b = a[rank < offers], b[rank < offers]
-        return a, b, beyond
-
-    names = ["kind", "a", "b", "part", "tree", "key", "comp", "size", "sig"]
-    schema = "kind int, a long, b long, part int, tree int, key binary, comp long, size long, sig binary"
+            b.append(i + step)
+        return np.concatenate(a), np.concatenate(b), beyond
+
+    names = ["kind", "a", "b", "part", "tree", "key"]
+    schema = "kind int, a long, b long, part int, tree int, key binary"
 
     def arrays(t: pa.Table):
         n = t.num_rows
         keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u4").reshape(n, depth) if n else np.zeros((0, depth), ">u4")
-        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(n, -1) if n and dense else None
-        return t["tree"].to_numpy(), keys, t["id"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy(), sigs
+        return t["tree"].to_numpy(), keys, t["id"].to_numpy()
 
     def out(kind: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)) if b is not None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)) if b is not None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
 
     def seam(kind: int, t: pa.Table, part: int) -> pa.RecordBatch:
         n = t.num_rows
         col = lambda name: t[name].combine_chunks() if n else pa.array([], t.schema.field(name).type)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), col("id"), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), col("tree"), col("key"), col("comp"), col("size"), col("sig")], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), col("id"), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), col("tree"), col("key")], names=names)
 
     def emit(t: pa.Table, split: int | None) -> Iterator[pa.RecordBatch]:
-        tree, keys, ids, comps, sizes, sigs = arrays(t)
-        a, b, beyond = pairs_of(tree, keys, ids, comps, sizes, sigs, split)
+        tree, keys, ids = arrays(t)
+        a, b, beyond = pairs_of(tree, keys, ids, split)
         lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         if len(lo):
             once = np.unique(np.stack([lo, hi]), axis=1)
@@ -216,10 +187,8 @@ def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor:
                 first = False
             whole = now if carried is None else pa.concat_tables([carried, now])
             # Pairs within the rows carried over were given before.
-            if carried is None:
-                yield from emit(whole, None)
-            else:
-                yield from emit(now, None)
+            yield from emit(now, None)
+            if carried is not None:
                 yield from emit(pa.concat_tables([carried, now.slice(0, near)]), carried.num_rows)
             carried = whole.slice(max(0, whole.num_rows - near))
         if carried is not None:
@@ -229,7 +198,7 @@ def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor:
         # One seam: the last rows of a task and the first of the next, ``near`` of each at most.
         def side(kind: int) -> pa.Table:
             t = both.filter(pc.equal(both["kind"], kind))
-            return pa.table({"tree": t["tree"], "key": t["key"], "id": t["a"], "comp": t["comp"], "size": t["size"], "sig": t["sig"]}).sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
+            return pa.table({"tree": t["tree"], "key": t["key"], "id": t["a"]}).sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
 
         left, right = side(2), side(3)
         found = list(emit(pa.concat_tables([left, right]), left.num_rows)) if left.num_rows and right.num_rows else []
@@ -242,48 +211,93 @@ def _neighbours(rows: DataFrame, scratch: Scratch, name: str, near: int, floor:
     return found
 
 
-def _unmet(rows: DataFrame, scratch: Scratch, name: str, reach: int, floor: int, offers: int) -> DataFrame:
-    """Pairs of different components in whole regions: rows that share ``floor`` values, more than ``reach`` apart or not.
-
-    ``rows`` as in ``_neighbours``. Only regions of over ``reach`` + 1 rows and several
-    components count. In each, the rows of the largest component only answer; all
-    others ask every row. Both are dealt in blocks and each pair of blocks meets
-    in a group of its own, so that no region lies in one task. Returns (kind, a, b):
-    pairs that look alike (kind 0), at most ``offers`` for a text that asks a block,
-    and texts that have more to ask (kind 1: a).
+def _joining(ids: np.ndarray, comps: np.ndarray, free: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between rows that ask and rows that answer, judged on full sets; only those that join components of this group."""
+    ask, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(ask) or not len(other):
+        return []
+    sizes = np.array([len(sets[j]) for j in other])
+    known, spot = np.unique(np.concatenate([sets[j] for j in other]), return_inverse=True)
+    starts, mark, up, out = np.cumsum(sizes) - sizes, np.zeros(len(known), np.int32), {}, []
+
+    def root(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up[p]
+        return x
+
+    for i in ask.tolist():
+        mine = sets[i]
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        hit = at[known[at] == mine]
+        if 100 * len(hit) < percent * len(mine):
+            continue
+        mark[hit] = 1
+        both = np.add.reduceat(mark[spot], starts)
+        mark[hit] = 0
+        # Of two that could ask each other, one does.
+        linked = (100 * both >= percent * (len(mine) + sizes - both)) & (comps[other] != comps[i]) & (free[other] | (ids[i] > ids[other]))
+        for j in other[np.flatnonzero(linked)].tolist():
+            a, b = root(int(comps[i])), root(int(comps[j]))
+            if a != b:
+                up[a] = b
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def _unmet(rows: DataFrame, sets: DataFrame, scratch: Scratch, floor: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components in whole regions: rows that share ``floor`` values in an order.
+
+    ``rows``: (tree, key, id, comp, n). Only regions of several components count.
+    In each, the rows of the largest component only answer; all others ask every
+    row. Both are dealt in blocks of bounded rows and shingles, and each pair of
+    blocks meets by itself, so that no region lies in one task. A block's sets
+    are compared whole, and only links that join components leave it: there are
+    fewer of them than components, however many pairs are alike.
     """
     rows = rows.withColumn("region", F.expr(f"substring(key, 1, {4 * floor})")).drop("key")
-    parts = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("n"))
-    regions = parts.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("host"))
-    blocks = F.ceil((F.col("n") - F.col("host.n")) / ASKING).cast("int").alias("asking"), F.ceil(F.col("n") / ASKED).cast("int").alias("asked")
-    regions = scratch.save(regions.where(f"comps > 1 and n > {reach + 1}").select("tree", "region", F.col("host.comp").alias("host"), *blocks), f"{name}_regions")
+    parts = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    regions = parts.groupBy("tree", "region").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("comps"), F.max(F.struct("rows", "comp", "shingles")).alias("host"))
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("int")
+    asking, asked = blocks(F.col("rows") - F.col("host.rows"), F.col("shingles") - F.col("host.shingles")), blocks(F.col("rows"), F.col("shingles"))
+    regions = scratch.save(regions.where("comps > 1").select("tree", "region", F.col("host.comp").alias("host"), asking.alias("asking"), asked.alias("asked")), "regions")
     met = rows.join(broadcast_if_small(regions, BROADCAST_IDS), ["tree", "region"]).withColumn("free", F.col("comp") == F.col("host"))
-    columns = ["tree", "region", "p", "q", "asks", "id", "comp", "size", "free", "sig"]
     mine, all_of = F.xxhash64("id", F.lit(1)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = F.xxhash64("tree", "region", "p", "q").alias("g")
     ask = met.where("not free").withColumns({"p": F.pmod(mine, F.col("asking")).cast("int"), "asks": F.lit(True)}).withColumn("q", all_of("asked"))
     answer = met.withColumns({"q": F.pmod(mine, F.col("asked")).cast("int"), "asks": F.lit(False)}).withColumn("p", all_of("asking"))
+    both = ask.select(group, "asks", "free", "id", "comp").unionByName(answer.select(group, "asks", "free", "id", "comp")).join(sets, "id")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.select("g", "asks", "free", "id", "comp", "shingles").repartition(n, "g").sortWithinPartitions("g", "asks", "id")
 
-    def compare(t: pa.Table) -> pa.Table:
-        ids, comps, sizes, free, asks = (t[c].to_numpy() for c in ("id", "comp", "size", "free", "asks"))
-        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        other, kinds, a, b = np.flatnonzero(~asks), [], [], []
-        there = sigs[other]
-        for i in np.flatnonzero(asks):
-            # Of two that could ask each other, the one of the smaller component does.
-            may = (comps[other] != comps[i]) & (free[other] | (sizes[i] < sizes[other]) | ((sizes[i] == sizes[other]) & (ids[i] > ids[other])))
-            at = np.flatnonzero(may)
-            like = (there[at] == sigs[i]).mean(axis=1)
-            at, like = at[like >= LIKELY_DENSE], like[like >= LIKELY_DENSE]
-            best = other[at[np.lexsort((ids[other[at]], -like))]]
-            more = [-1] if len(best) > offers else []
-            best = best[:offers]
-            kinds += [0] * len(best) + [1] * len(more)
-            a += np.minimum(ids[i], ids[best]).tolist() + [int(ids[i])] * len(more)
-            b += np.maximum(ids[i], ids[best]).tolist() + [None] * len(more)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    both = ask.select(*columns).unionByName(answer.select(*columns))
-    return scratch.save(both.groupBy("tree", "region", "p", "q").applyInArrow(compare, "kind int, a long, b long"), name)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of a group lie together; the last group of a batch waits for the next batch.
+        held: list[pa.RecordBatch] = []
+
+        def links(some: pa.Table) -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
+            g, asks, free, ids, comps = (some[c].to_numpy() for c in ("g", "asks", "free", "id", "comp"))
+            lists = some["shingles"].combine_chunks()
+            lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                here = [values[offsets[k] : offsets[k + 1]] for k in range(lo, hi)]
+                found += _joining(ids[lo:hi], comps[lo:hi], free[lo:hi], asks[lo:hi], here, percent)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).to_numpy()
+            fresh = int(np.searchsorted(g, g[-1]))
+            if fresh or (held and held[-1].column(0)[0].as_py() != g[0]):
+                yield links(pa.Table.from_batches([*held, batch.slice(0, fresh)]))
+                held = []
+            held.append(batch.slice(fresh))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return scratch.save(dealt.mapInArrow(read, "a long, b long").distinct(), "joining")
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -291,11 +305,10 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
 
-def _ordered(sets: DataFrame, trees: int, depth: int, dense: bool) -> DataFrame:
-    """A row for each order: (tree, key, id, comp, size, sig)."""
+def _ordered(sets: DataFrame, trees: int, depth: int, *columns: str) -> DataFrame:
+    """A row for each order: (tree, key, id) and ``columns``."""
     key = F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})")
-    sig = F.col("sharp") if dense else F.lit(None).cast("binary")
-    return sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", key.alias("key"), "id", "comp", "size", sig.alias("sig"))
+    return sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", key.alias("key"), "id", *columns)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -314,22 +327,6 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, "id long, shingles array<long>")
 
 
-def sharp_signatures(sets: DataFrame, values: int = SHARP) -> DataFrame:
-    """(id, sharp): signatures of ``values`` values from sets, of one byte each: one in 256 is equal by chance. Empty sets have none."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = _multipliers(values)
-        for batch in batches:
-            ids, rows = [], []
-            for i, one in enumerate(batch.column(1)):
-                if len(hashes := one.values.to_numpy().view(np.uint64)):
-                    ids.append(i)
-                    rows.append((np.array([(hashes * m).min() for m in many]) >> np.uint64(32)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(rows, pa.binary())], names=["id", "sharp"])
-
-    return sets.mapInArrow(read, "id long, sharp binary")
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with ``linked``, judged on full sets."""
     a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -384,10 +381,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     scratch = Scratch(docs.sparkSession, "neardup")
     seen = scratch.save(sketches(docs.select("doc_id", "text"), shingle, trees, depth), "sketches")
     classes = scratch.save(seen.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    sigs = seen.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "sig", F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"))
+    sigs = seen.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "sig")
     sigs = scratch.save(sigs.dropDuplicates(["id"]), "sigs")
 
-    met = _neighbours(_sorted(_ordered(sigs, trees, depth, False)), scratch, "neighbours", NEAR, FLOOR, depth)
+    met = _neighbours(_sorted(_ordered(sigs, trees, depth)), scratch, "neighbours", NEAR, FLOOR, depth)
     likely = scratch.save(_alike(met.where("kind = 0").select("a", "b").distinct(), sigs, trees * depth), "likely")
     dense = met.where("kind = 1").select(F.col("a").alias("id")).distinct()
 
@@ -404,32 +401,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     member = components(_ends(tested), scratch, "cc_0").select("node", "component")
     crossing = scratch.save(_crossing(likely.select("a", "b"), member).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     more = scratch.save(_confirm(crossing, sets, percent), "tested_1")
-    member, tested, n, offers = _merged(member, more, scratch, "1"), tested.unionByName(more), 1, OFFERS
-
-    # Dense regions offer every likely pair of different components, within windows and then in whole regions; only
-    # rows that hold some back make another round.
-    regions = bool(dense.limit(1).count())
-    if regions:
-        sharp = scratch.save(sigs.select("id", "sig").join(sharp_signatures(sets), "id").join(dense, "id"), "sharp")
-        # Windows meet across one seam; where tasks hold few rows, regions of any width are compared as a whole.
-        reach = WIDE if sharp.count() * trees >= 4 * WIDE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
-    whole = False
-    while regions:
-        n += 1
-        sized = member.join(member.groupBy("component").agg(F.count("*").alias("of")), "component").withColumnRenamed("node", "id")
-        now = sharp.join(sized, "id", "left").select("id", "sig", "sharp", F.coalesce("component", "id").alias("comp"), F.coalesce("of", F.lit(1)).cast("long").alias("size"))
-        ordered = _ordered(scratch.save(now, f"dense_{n}"), trees, depth, True)
-        offered = _unmet(ordered, scratch, f"offered_{n}", reach, FLOOR, offers) if whole else _neighbours(_sorted(ordered), scratch, f"offered_{n}", WIDE, FLOOR, depth, offers)
-        scratch.drop(f"dense_{n}")
-        fresh = offered.where("kind = 0").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch.save(_confirm(fresh, sets, percent), f"tested_{n}")
-        member, tested = _merged(member, more, scratch, f"{n}"), tested.unionByName(more)
-        if offered.where("kind = 1").limit(1).count():
-            offers *= 32
-        elif whole:
-            break
-        else:
-            whole, offers = True, OFFERS
+    member = _merged(member, more, scratch, "1")
+
+    # Regions of more rows than neighbours see are compared as a whole, where they still hold several components.
+    if dense.limit(1).count():
+        now = sigs.join(dense, "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("comp"))
+        ordered = _ordered(scratch.save(now, "dense"), trees, depth, "comp", "n")
+        member = _merged(member, _unmet(ordered, sets, scratch, FLOOR, percent).withColumn("linked", F.lit(True)), scratch, "2")
     of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     of_class = scratch.save(of_class, "of_class")
     rows = scratch.save(seen.select("doc_id", "n_shingles", "s1", "s2"), "rows")

@@ -72,23 +72,29 @@ def test_large_group_with_outliers(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows)
 
 
-def test_regions_wider_than_the_windows(spark):
-    """Copies that lie further apart than the windows reach: keys are equal there, so that ids alone order them."""
-    r = random.Random(8)
-    core, rows = [f"c{i}" for i in range(100)], []
-    for k in range(300):
-        own = [f"o{k}_{i}" for i in range(40)]
-        rows += [(k, " ".join(core + own)), (1000 + k, " ".join(core + own[:-1] + [f"y{k}"]))]
-    want = brute(rows)
-    assert len({v[1] for v in want.values()}) == 300
-    r.shuffle(rows)
-    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), trees=2, depth=2)
-    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == want
+def template(n, own=40, core=100):
+    """``n`` texts of one template, each with one partner at 0.77 and far from the rest (at most 0.62)."""
+    rows, same = [], [f"c{i}" for i in range(core)]
+    for k in range(n // 2):
+        mine = [f"o{k}_{i}" for i in range(own)]
+        rows += [(k, " ".join(same + mine)), (1_000_000 + k, " ".join(same + mine[:-17] + [f"y{k}_{i}" for i in range(17)]))]
+    return rows
+
+
+@pytest.mark.parametrize("n", [600, 4000])
+def test_regions_wider_than_a_block(spark, monkeypatch, n):
+    """Pairs that lie anywhere in a region of one template; blocks are small enough to cut the region."""
+    rows = template(n)
+    if n <= 600:
+        assert len({v[1] for v in brute(rows).values()}) == n // 2
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 100 if n <= 600 else 512)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert {x.doc_id: x.component_id for x in got.collect()} == {i: i % 1_000_000 for i, _ in rows}
 
 
 def test_regions_cut_by_a_seam_are_dense(spark):
     """Four close prefixes in two batches of two rows."""
-    rows = spark.createDataFrame([(0, bytes(8), i, i, 1, None) for i in range(4)], "tree int, key binary, id long, comp long, size long, sig binary")
+    rows = spark.createDataFrame([(0, bytes(8), i) for i in range(4)], "tree int, key binary, id long")
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(size)
     spark.conf.set(size, 2)
@@ -100,10 +106,26 @@ def test_regions_cut_by_a_seam_are_dense(spark):
     assert {(r.a, r.b) for r in got if r.kind == 0} == {(0, 1), (1, 2), (2, 3), (0, 2), (1, 3)}
 
 
-def test_sharp_filter_lets_links_through():
-    """Four standard deviations between a link and the filter of dense regions; one byte in 256 is equal by chance."""
-    equal = 0.75 + 0.25 / 256
-    assert neardup.LIKELY_DENSE <= equal - 4 * (equal * (1 - equal) / neardup.SHARP) ** 0.5
+def test_groups_may_span_batches(spark):
+    """A block's rows in many batches meet as one group."""
+    rows = template(60)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.set(size, was)
+    assert {x.doc_id: x.component_id for x in got} == {i: i % 1_000_000 for i, _ in rows}
+
+
+def test_very_long_texts(spark):
+    """Over a megabyte each: whole texts count, so a change of a third at the end parts them."""
+    base = [f"w{i}" for i in range(180_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:170_000])), (3, " ".join(base[:120_000] + [f"z{i}" for i in range(60_000)]))]
+    assert len(rows[0][1]) > 1 << 20
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
 
 
 def test_nulls_blanks_ties_repeats_and_extra_columns(spark):
