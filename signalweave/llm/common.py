@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signalweave.storage import Scratch, broadcast_if_small, shared_dir, table
+from signalweave.storage import Scratch, broadcast_if_small, hot_join, shared_dir, table
 
-__all__ = ["CHUNK_BYTES", "Scratch", "broadcast_if_small", "chunks", "lower_ascii", "shared_dir", "table", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "Scratch", "broadcast_if_small", "chunks", "hot_join", "lower_ascii", "shared_dir", "table", "text_bytes"]
 
 #: Text bytes handled at once by the Python stages, so that memory stays bounded whatever a batch holds.
 CHUNK_BYTES = 1 << 20

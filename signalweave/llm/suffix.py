@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, broadcast_if_small, table, text_bytes
+from .common import CHUNK_BYTES, Scratch, broadcast_if_small, hot_join, table, text_bytes
 
 #: Bytes of a repeated string; the least of a q-gram that first buckets are made of; parts of a run of starts in each round.
 LENGTH, LEAST_GRAM, FAN = 400, 50, 7
@@ -118,8 +118,11 @@ def _texts(batch: pa.RecordBatch, length: int, limit: int) -> Iterator[tuple[byt
 
 
 def anchor_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, tx, at, more, near, far, bucket, around): runs of starts ``at - far`` to ``at - near`` and ids of their bucket and surroundings.
+    """(doc_id, tx, at, times, spans, near, far, bucket, around): runs of starts ``at - far`` to ``at - near`` and ids of their bucket and surroundings.
 
+    Equal runs of a text are one row, with their number; ``spans`` (null for a
+    single run) are the first and last starts of the stretches that they cover
+    together, so that a line repeated without end is one span and not one a place.
     Texts longer than a chunk are cut where starts end, so that no start is lost.
     """
     made: list[Anchors] = []
@@ -129,7 +132,8 @@ def anchor_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         if not made:
             made.append(Anchors(length, gram))
-        names = ["doc_id", "tx", "at", "more", "near", "far", "bucket", "around"]
+        names = ["doc_id", "tx", "at", "times", "spans", "near", "far", "bucket", "around"]
+        span = pa.struct([("low", pa.int64()), ("high", pa.int64())])
         for batch in batches:
             for data, rows, first, count, add in _texts(batch, length, CHUNK_BYTES):
                 text, anchor, low, high, bucket = made[0].runs(data, first, count)
@@ -139,13 +143,22 @@ def anchor_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 near, far = anchor - high, anchor - low
                 new = np.r_[True, (np.diff(text) != 0) | (np.diff(bucket) != 0) | (np.diff(near) != 0) | (np.diff(far) != 0) | (np.diff(around) != 0)]
                 first_of = np.flatnonzero(new)
-                # A text that repeats itself has many equal runs: one row stands for them and lists the other places.
-                others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.diff(np.r_[first_of, len(new)]) - 1)].astype(np.int32)), pa.array((anchor + add[text])[~new]))
+                times = np.diff(np.r_[first_of, len(new)])
+                # Starts of equal runs rise; those whose strings touch make one stretch.
+                low, high = anchor - far + add[text], anchor - near + add[text]
+                apart = new | np.r_[True, low[1:] > high[:-1] + length]
+                begin = np.flatnonzero(apart)
+                end = np.r_[begin[1:], len(apart)] - 1
+                group = np.cumsum(new)[begin] - 1
+                many = times[group] > 1
+                per = np.bincount(group[many], minlength=len(times))
+                stretches = pa.StructArray.from_arrays([pa.array(low[begin[many]]), pa.array(high[end[many]])], fields=list(span))
+                spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), stretches, mask=pa.array(times == 1))
                 text, anchor = text[first_of], anchor[first_of]
                 row = pa.array(np.array(rows)[text])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(anchor + add[text]), others, pa.array(near[first_of].astype(np.int32)), pa.array(far[first_of].astype(np.int32)), pa.array(bucket[first_of]), pa.array(around[first_of])], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(anchor + add[text]), pa.array(times.astype(np.int32)), spans, pa.array(near[first_of].astype(np.int32)), pa.array(far[first_of].astype(np.int32)), pa.array(bucket[first_of]), pa.array(around[first_of])], names=names)
 
-    return docs.select("doc_id", "text", "tx").mapInArrow(read, "doc_id long, tx long, at long, more array<long>, near int, far int, bucket long, around long")
+    return docs.select("doc_id", "text", "tx").mapInArrow(read, "doc_id long, tx long, at long, times int, spans array<struct<low:long,high:long>>, near int, far int, bucket long, around long")
 
 
 def _fringes(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -232,24 +245,22 @@ def _kept(docs: DataFrame, length: int, want_text: bool, words: int | None = Non
     return docs.select("doc_id", "text", "tx", "spans").mapInArrow(read, "doc_id long, tx long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def _weight(rows: DataFrame) -> Column:
-    """How many runs a row stands for."""
-    return F.size("more") + 1 if "more" in rows.columns else F.lit(1)
-
-
-def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+def _shared(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
     """Rows whose bucket holds another one: a narrow combinable count first, then the rows that it leaves."""
-    return rows.join(rows.groupBy(*key).agg(F.sum(_weight(rows)).alias("rows")).where("rows > 1").drop("rows"), key)
+    counts = rows.groupBy(*key).agg(F.sum("times").alias("n")).where("n > 1")
+    return hot_join(rows, scratch.save(counts, f"{name}_counts"), key, "n").drop("n")
 
 
-def _settle(rows: DataFrame, key: list[str], around: list[str]) -> DataFrame:
+def _settle(rows: DataFrame, key: list[str], around: list[str], scratch: Scratch, name: str) -> DataFrame:
     """``rows`` (of shared buckets) with ``repeated`` (settled now) and ``open`` (to be refined).
 
     Of rows with equal surroundings one stays, settled, for others to meet.
     """
-    each = rows.groupBy(*key, *around).agg(F.sum(_weight(rows)).alias("same"), F.min(F.xxhash64("doc_id", "tx", "at")).alias("one"))
+    each = rows.groupBy(*key, *around).agg(F.sum("times").alias("same"), F.min(F.xxhash64("doc_id", "tx", "at")).alias("one"))
+    each = scratch.save(each, f"{name}_each")
     kinds = each.groupBy(*key).agg(F.count("*").alias("kinds"))
-    met = rows.join(each.join(kinds, key), [*key, *around])
+    counted = scratch.save(hot_join(each, kinds, key, "kinds"), f"{name}_kinds")
+    met = hot_join(rows, counted, [*key, *around], "same")
     repeated = F.col("same") > 1
     one = F.xxhash64("doc_id", "tx", "at") == F.col("one")
     return met.withColumn("repeated", repeated & ~F.col("settled")).withColumn("open", (F.col("kinds") > 1) & (~repeated | one)).withColumn("settled", F.col("settled") | repeated).drop("same", "kinds", "one")
@@ -282,11 +293,12 @@ def _refine(rows: DataFrame, width: int, fan: int) -> tuple[DataFrame, int]:
 
 
 def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, fan: int) -> tuple[DataFrame, DataFrame]:
-    """(texts with repeated q-gram buckets, runs of repeated starts (doc_id, tx, low, high))."""
+    """(texts with repeated q-gram buckets, stretches of repeated starts (doc_id, tx, spans: low and high of each))."""
     runs = scratch.save(anchor_runs(docs, length, gram), "runs")
-    shared = scratch.save(_shared(runs, ["bucket"]).withColumn("settled", F.lit(False)), "shared")
+    shared = scratch.save(_shared(runs, ["bucket"], scratch, "first").withColumn("settled", F.lit(False)), "shared")
     scratch.drop("runs")
-    listed = _settle(shared, ["bucket"], ["near", "far", "around"]).where("repeated or open").groupBy("doc_id", "tx").agg(F.collect_list(F.struct("at", "more", "near", "far", "bucket", "settled", "repeated", "open")).alias("runs"))
+    settled = _settle(shared, ["bucket"], ["near", "far", "around"], scratch, "first").where("repeated or open")
+    listed = settled.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("at", "spans", "near", "far", "bucket", "settled", "repeated", "open")).alias("runs"))
     listed = scratch.save(listed, "listed")
     scratch.drop("shared")
     # Texts without any such run stay where they are, if the hashes of the others are few.
@@ -294,7 +306,8 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, f
     met = some.alias("d").join(listed.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tx") == F.col("r.tx")))
     pending = scratch.save(met.select("d.doc_id", "d.text", "d.tx", "r.runs"), "pending")
     scratch.drop("listed")
-    found = pending.select("doc_id", "tx", F.explode(F.filter("runs", lambda r: r["repeated"])).alias("r")).select("doc_id", "tx", F.concat(F.array("r.at"), "r.more").alias("ats"), "r.near", "r.far").select("doc_id", "tx", F.explode("ats").alias("at"), "near", "far").select("doc_id", "tx", (F.col("at") - F.col("far")).alias("low"), (F.col("at") - F.col("near")).alias("high"))
+    span = lambda r: F.struct((r["at"] - r["far"]).alias("low"), (r["at"] - r["near"]).alias("high"))
+    found = pending.select("doc_id", "tx", F.flatten(F.transform(F.filter("runs", lambda r: r["repeated"]), lambda r: F.coalesce(r["spans"], F.array(span(r))))).alias("spans")).where("size(spans) > 0")
     todo = _fringes(pending.withColumn("runs", F.filter("runs", lambda r: r["open"])).where("size(runs) > 0"), length, gram)
     rows = scratch.save(todo.withColumns({"band": F.lit(0), "b1": F.col("bucket"), "b2": F.col("bucket")}).drop("bucket"), "rims_0")
     width, n, all_found = length - gram + 1, 0, [found]
@@ -302,11 +315,11 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int, gram: int, f
         cut, step = _refine(rows, width, fan)
         cut = scratch.save(cut, f"cut_{n}")
         n += 1
-        cut = cut.withColumns({"around": F.xxhash64("lb", F.lit(3), "rb"), "size": F.length("lb")})
-        met = _settle(_shared(cut, ["b1", "b2", "band"]), ["b1", "b2", "band"], ["near", "far", "size", "around"])
-        met = scratch.save(met.where("repeated or open").drop("size", "around"), f"rims_{n}")
+        cut = cut.withColumns({"around": F.xxhash64("lb", F.lit(3), "rb"), "size": F.length("lb"), "times": F.lit(1)})
+        met = _settle(_shared(cut, ["b1", "b2", "band"], scratch, f"cut_{n}"), ["b1", "b2", "band"], ["near", "far", "size", "around"], scratch, f"cut_{n}")
+        met = scratch.save(met.where("repeated or open").drop("size", "around", "times"), f"rims_{n}")
         scratch.drop(f"cut_{n - 1}")
-        all_found.append(met.where("repeated").select("doc_id", "tx", (F.col("at") - F.col("far")).alias("low"), (F.col("at") - F.col("near")).alias("high")))
+        all_found.append(met.where("repeated").groupBy("doc_id", "tx").agg(F.collect_list(F.struct((F.col("at") - F.col("far")).alias("low"), (F.col("at") - F.col("near")).alias("high"))).alias("spans")))
         rows, width = met.where("open").drop("repeated", "open"), step
     out = all_found[0]
     for more in all_found[1:]:
@@ -336,10 +349,10 @@ def repeated_text(docs: DataFrame, length: int = LENGTH, least_gram: int = LEAST
     if words:
         short = scratch.save(short_passages(slim, words, length), "short")
         often = short.groupBy("h1", "h2").agg(F.sum(F.size("spans")).alias("places")).where("places > 1").select("h1", "h2")
-        again = short.join(broadcast_if_small(often, BROADCAST_TEXTS), ["h1", "h2"]).select("doc_id", "tx", F.explode("spans").alias("s")).select("doc_id", "tx", "s.low", "s.high")
+        again = short.join(broadcast_if_small(often, BROADCAST_TEXTS), ["h1", "h2"]).select("doc_id", "tx", "spans")
         spans = scratch.save(spans.unionAll(again), "spans")
         pending = slim.join(broadcast_if_small(spans.select("tx").distinct(), BROADCAST_TEXTS), "tx", "left_semi")
-    per = spans.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    per = spans.groupBy("doc_id", "tx").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     with_spans = pending.alias("p").join(per.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.tx") == F.col("s.tx"))).select("p.doc_id", "p.text", "p.tx", "s.spans")
     done = scratch.save(_kept(with_spans, length, want_text, words), "kept").dropDuplicates(["doc_id", "tx"])
     scratch.keep("kept")
