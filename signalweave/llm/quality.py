@@ -17,59 +17,67 @@ PER_CLASS, DIMENSIONS, VOTERS, BLOCK = 600, 64, 15, 256
 SHARPNESS = 8
 #: Bytes of a text that are turned to terms at once; all of a text is read.
 SLICE = 1 << 20
-
-#: Kinds of bytes: what a text's orthography is told by. 64 leaves room for each ASCII mark.
-KINDS = 64
-
-
-def _kinds() -> np.ndarray:
-    """A kind for each byte: letters by case and vowel, digits, white space, bytes outside ASCII, and each mark by itself."""
-    kind = np.zeros(256, np.int64)
-    marks = 9
-    for b in range(256):
-        c = chr(b)
-        if b > 127:
-            kind[b] = 1
-        elif c.isalpha():
-            kind[b] = 2 + 2 * c.isupper() + (c.lower() in "aeiou")
-        elif c.isdigit():
-            kind[b] = 6
-        elif c == "\n":
-            kind[b] = 7
-        elif c.isspace():
-            kind[b] = 8
-        elif b > 32 and b < 127:
-            kind[b] = marks
-            marks += 1
-    return kind
-
-
-_KIND = _kinds()
-#: Terms beside pairs of kinds: words, words that repeat the last one, words in capitals, different words.
+#: Bits of the numbers that words and character trigrams are hashed to.
+BITS = 12
+#: Terms beside words and trigrams: words, words that repeat the last one, words in capitals, different words.
 SHAPES = 4
-#: A shape stands beside many pairs and counts as several of them.
+#: A shape stands beside many hashed terms and counts as several of them.
 SHAPE_WEIGHT = 3
-TERMS = KINDS * KINDS + SHAPES
+TERMS = 2 * (1 << BITS) + SHAPES
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _word_hashes(part: bytes) -> np.ndarray:
+    """A number for each word of ``part``, the same for the same bytes: their sum of powers, up to its place."""
+    b = np.frombuffer(part, np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[b], True].astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(b), dtype=np.uint64) - np.repeat(begin, np.diff(np.r_[begin, len(b)])).astype(np.uint64) if begin[0] == 0 else None
+    if place is None:
+        return _word_hashes(part[begin[0] :])
+    # Each byte is mixed with its place in its word; a word's sum is then its hash.
+    mixed = (b.astype(np.uint64) + np.uint64(1)) * ((place * np.uint64(2) + np.uint64(1)) * _BASE)
+    mixed ^= mixed >> np.uint64(29)
+    mixed[_SPACE[b]] = 0
+    return np.add.reduceat(mixed, begin)
 
 
 def terms(raw: bytes) -> np.ndarray:
-    """Damped counts of a whole text's terms; empty texts have none."""
+    """Damped counts of a whole text's terms: hashed words, hashed character trigrams and shapes; empty texts have none."""
     counts = np.zeros(TERMS, np.float64)
-    for at in range(0, len(raw), SLICE):
-        k = _KIND[np.frombuffer(raw, np.uint8, min(SLICE + 1, len(raw) - at), at)]
-        if len(k) > 1:
-            pairs = k[:-1] * KINDS + k[1:]
-            counts[: KINDS * KINDS] += np.bincount(pairs, minlength=KINDS * KINDS)
+    size, half = 1 << BITS, 2 << BITS
+    low, n, at = raw.lower(), 0, 0
+    while at < len(low):
+        # Slices end where words do; a word that is longer stays whole.
+        end = at + SLICE
+        while end < len(low) and not _SPACE[low[end]]:
+            end += 1
+        hashed = _word_hashes(low[at:end])
+        n += len(hashed)
+        counts[:size] += np.bincount(_bucket(hashed), minlength=size)
+        at = end
+    for at in range(0, len(raw) - 2, SLICE):
+        k = np.frombuffer(raw, np.uint8, min(SLICE + 2, len(raw) - at), at).astype(np.uint64)
+        counts[size:half] += np.bincount(_bucket((k[:-2] * np.uint64(65536) + k[1:-1] * np.uint64(256) + k[2:]) * _BASE), minlength=size)
     words = raw.split()
     repeats = sum(map(bytes.__eq__, words, words[1:]))
     shouted = sum(1 for w in words if len(w) > 1 and w.isupper())
-    size = max(1, len(raw))
+    n = max(1, n)
     # Shares of the text, on one scale, whatever its length.
-    counts[: KINDS * KINDS] *= 1000 / size
-    n = max(1, len(words))
-    counts[KINDS * KINDS :] = 1000 / size * n, 1000 * repeats / n, 1000 * shouted / n, 1000 * len(set(words)) / n / max(1.0, np.log2(n))
+    counts[:size] *= 100 / n
+    counts[size:half] *= 1000 / max(1, len(raw))
+    counts[half:] = 1000 * len(words) / max(1, len(raw)), 1000 * repeats / n, 1000 * shouted / n, 1000 * len(set(words)) / n / max(1.0, np.log2(n))
     damped = np.log1p(counts)
-    damped[KINDS * KINDS :] *= SHAPE_WEIGHT
+    damped[half:] *= SHAPE_WEIGHT
     return damped
 
 
@@ -149,9 +157,9 @@ def held_out(doc_id):
 def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` with held_out, score and predicted.
 
-    Texts become damped term shares (orthography: pairs of byte kinds, and word
-    shapes), weighted by rarity among the labelled ones, and points of a latent
-    space. The labelled vectors, at most 2 * ``per_class``, are broadcast; every
+    Texts become damped term shares (words and character trigrams, hashed to
+    ``BITS`` bits each, and four word shapes), weighted by rarity among the labelled
+    ones, and points of a latent space. The labelled vectors, at most 2 * ``per_class``, are broadcast; every
     document's cosine with each of them is computed in blocks, and the nearest
     vote. Null and empty texts stand at the origin, near nothing, and get the
     share of label 1 among the learned rows. Columns of these names are replaced.
