@@ -13,6 +13,8 @@ WINDOW, BLOCK = 10, 2048
 PLAN_WORDS = 50_000
 #: Window starts and words up to which benchmark tables are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Tasks that the rows of one word or code are dealt to where those joins shuffle.
+SALTS = 64
 
 #: Fixed value: what parts words. Digits, letters and everything outside ASCII belong to words.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,7 +48,8 @@ def postings(docs: DataFrame, vocabulary: DataFrame, salt: int, window: int = WI
 
     ``pos`` and ``code`` hold the places in the block and the codes of the words
     that are in ``vocabulary`` (word). A vocabulary of up to ``plan_words`` is a
-    hash set in the plan; a larger one is joined with the words instead.
+    hash set in the plan; a larger one is joined with the words instead, each
+    word dealt to ``SALTS`` tasks.
     """
     blocks = _blocks(docs, window, block)
     known = [r[0] for r in vocabulary.limit(plan_words + 1).collect()]
@@ -54,14 +57,19 @@ def postings(docs: DataFrame, vocabulary: DataFrame, salt: int, window: int = WI
         hit = F.filter(F.transform("w", lambda w, i: F.when(w.isin(known), F.struct(i.alias("i"), _code(w, salt).alias("c")))), lambda x: x.isNotNull()) if known else F.array().cast("array<struct<i:int,c:int>>")
         found = blocks.select("doc_id", "n_words", "base", hit.alias("hit"))
         return found.select("doc_id", "n_words", "base", F.col("hit.i").alias("pos"), F.col("hit.c").alias("code"))
-    each = blocks.select("doc_id", "n_words", "base", F.posexplode_outer("w").alias("i", "word"))
-    kept = each.join(vocabulary, "word", "left_semi").select("doc_id", "base", F.struct("i", _code(F.col("word"), salt).alias("c")).alias("x"))
+    each = blocks.select("doc_id", "base", F.posexplode("w").alias("i", "word")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "base", "i"), F.lit(SALTS)).cast("int"))
+    kept = each.join(_salted(vocabulary), ["word", "salt"]).select("doc_id", "base", F.struct("i", _code(F.col("word"), salt).alias("c")).alias("x"))
     per = kept.groupBy("doc_id", "base").agg(F.sort_array(F.collect_list("x")).alias("hit"))
     empty = F.array().cast("array<int>")
     joined = blocks.drop("w").alias("b").join(per.alias("p"), F.col("b.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("b.base") == F.col("p.base")), "left")
     return joined.select("b.doc_id", "b.n_words", "b.base", F.coalesce("hit.i", empty).alias("pos"), F.coalesce("hit.c", empty).alias("code"))
 
 
+def _salted(words_of: DataFrame) -> DataFrame:
+    """A table of the benchmark once for each salt, so that a very common word's rows meet it in ``SALTS`` tasks."""
+    return words_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _salt(vocabulary: DataFrame) -> int:
     """A salt under which no two vocabulary words share a code."""
     n, salt = vocabulary.count(), 0
@@ -104,7 +112,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int
     held = index.withColumn("p", F.zip_with("pos", "code", _place))
     first = F.filter(F.arrays_zip("pos", "code"), lambda x: x["code"].isin(rare)) if 0 < len(rare) <= plan_words else F.arrays_zip("pos", "code")
     each = held.withColumn("at", F.explode(first)).select("doc_id", "base", "p", F.col("at.pos").alias("pos"), F.col("at.code").alias("code"))
-    met = each.join(F.broadcast(seeds) if small else seeds, "code").withColumn("diag", F.col("pos") - F.col("item_at"))
+    dealt = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "base", "pos"), F.lit(SALTS)).cast("int"))
+    met = (each.join(F.broadcast(seeds), "code") if small else dealt.join(_salted(seeds), ["code", "salt"])).withColumn("diag", F.col("pos") - F.col("item_at"))
 
     def near(off: Column, code: Column, within: int) -> Column:
         there = F.array_contains("p", _place(F.col("diag") + off, code))
