@@ -30,9 +30,19 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
+    """One document, the one with the smallest id, of each group of near-duplicates; of equal rows, one.
+
+    Rows of one id with different texts that are no near-duplicates all stay.
+    """
     scratch = Scratch(spark, "pipeline")
-    return _without(docs, scratch.save(neardup.near_duplicates(docs).where("not kept").select("doc_id"), "copies"))
+    judged = scratch.save(neardup.near_duplicates(docs).where("not kept or doc_id is null").select("doc_id"), "copies")
+    kept = _without(docs, judged.where("doc_id is not null"))
+    again = scratch.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return kept
+    twice = broadcast_if_small(again, BROADCAST_IDS)
+    same = kept.doc_id.eqNullSafe(twice.doc_id)
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,44 @@ def test_votes_are_those_of_the_nearest():
         assert score == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-4)
 
 
+def test_scores_like_brute_force(spark):
+    """The query's scores on a small table against plain loops: dictionaries of terms, every cosine, sorted votes."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels, per_class=30).collect()}
+    space = quality.LatentSpace(*quality.training_terms(docs, labels, 30))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for doc_id in sorted(texts)[:60]:
+        raw = texts[doc_id]
+        words, low = raw.split(), raw.lower()
+        shares = dict.fromkeys(range(quality.TERMS), 0.0)
+        for w in low.split():
+            shares[int(quality._bucket(quality._word_hashes(w))[0])] += 100 / max(1, len(words))
+        for i in range(len(raw) - 2):
+            code = np.array([raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]], np.uint64) * quality._BASE
+            shares[(1 << quality.BITS) + int(quality._bucket(code)[0])] += 1000 / len(raw)
+        n, top = max(1, len(words)), 2 << quality.BITS
+        repeats, shouted = sum(a == b for a, b in zip(words, words[1:])), sum(len(w) > 1 and w.isupper() for w in words)
+        for k, v in enumerate([1000 * len(words) / max(1, len(raw)), 1000 * repeats / n, 1000 * shouted / n, 1000 * len(set(words)) / n / max(1, np.log2(n))]):
+            shares[top + k] = v
+        x = np.array([np.log1p(v) * (quality.SHAPE_WEIGHT if k >= top else 1) for k, v in shares.items()])
+        x = x * space.weight / max(1e-12, np.linalg.norm(x * space.weight))
+        point = x @ space.project
+        point = point / max(1e-12, np.linalg.norm(point))
+        cosines = [round(float(point @ v), 5) for v in space.vectors]
+        near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[: quality.VOTERS]
+        votes = [max(0.0, cosines[i]) ** quality.SHARPNESS for i in near]
+        want = sum(v * space.labels[i] for v, i in zip(votes, near)) / sum(votes) if sum(votes) else space.prior
+        assert got[doc_id] == pytest.approx(want, abs=2e-3), doc_id
+
+
+def test_word_hashes_name_words():
+    text = b" The quick\n\tbrown fox and  the QUICK fox" * 50
+    hashes, words = quality._word_hashes(text).tolist(), text.split()
+    assert len(hashes) == len(words) and len({(h, w) for h, w in zip(hashes, words)}) == len(set(hashes)) == len(set(words))
+    assert len(quality._word_hashes(b"")) == len(quality._word_hashes(b"  ")) == 0
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "x" * 3_000_000, 1), (None, "abc", 1), (1, "two rows", 1)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -77,3 +115,26 @@ def test_pipeline_removes_passages_of_over_50_words(spark):
             assert got[i].n_chars == len(got[i].text)
         else:
             assert got[i].text == t
+
+
+def test_pipeline_on_repeated_rows_nulls_and_empty_tables(spark):
+    """Rows ingested twice stay once; passages of 51 to 60 words that documents share go, clean documents stay as they are."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    clean = {k: text(200) for k in range(1, 7)}
+    rows = [*clean.items(), (1, clean[1]), (2, clean[2]), (2, clean[2]), (20, None), (21, ""), (None, text(90))]
+    passages = {k: text(k) for k in (51, 52, 55, 60)}
+    for k, p in passages.items():
+        rows += [(100 + k, f"{text(120)} {p} {text(120)}"), (200 + k, f"{text(130)} {p} {text(110)}")]
+    rows.append((300, f"{text(120)} {' '.join(passages[60].split()[:40])} {text(120)}"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    once = pipeline.different(spark, docs, DATA)
+    assert once.columns == docs.columns and sorted(x.doc_id or 0 for x in once.collect()) == sorted({i or 0 for i, _ in rows})
+    cut = {x.doc_id: x for x in pipeline.unrepeated(spark, once, DATA).collect()}
+    assert all(cut[k].text == t for k, t in clean.items()) and cut[300].text == rows[-1][1]
+    for k, p in passages.items():
+        assert p not in cut[100 + k].text and p not in cut[200 + k].text
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert {x.doc_id for x in pipeline.packed(spark, docs, DATA).collect()} == {i for i, _ in rows}
