@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, hot_join, table
 from .urls import canonical
 
 #: Headers that a not-modified answer may renew in the stored response; all others stay the stored one's.
@@ -51,9 +51,15 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFram
     wanted = asked.where("found is null").select("uri", "slice").distinct().withColumn("last", F.lit(None).cast(lasts.schema["last"].dataType))
     earlier = lasts.unionByName(wanted).groupBy("uri", "slice").agg(F.max("last").alias("last")).withColumn("before", F.last("last", ignorenulls=True).over(W.partitionBy("uri").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))).select("uri", "slice", "before")
     matched = asked.join(earlier, ["uri", "slice"], "left").select("record_id", F.coalesce("found", "before")["record_id"].alias("response_id"), F.coalesce("found", "before")["at"].alias("response_at"))
+    # Only responses that some revisit found are read whole; those that very many found are broadcast to them.
+    scratch = Scratch(records.sparkSession, "warc")
+    matched = scratch.save(matched.dropDuplicates(["record_id"]), "matched")
+    found = matched.where("response_id is not null")
+    asks = scratch.save(found.groupBy("response_id", "response_at").agg(F.count("*").alias("asks")), "asks")
     own = rows.where("kind = 'revisit'").select("record_id", "url", F.col("uri").alias("canonical_url"), "at", F.col("headers").alias("new"))
-    old = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.col("headers").alias("old"), "body").dropDuplicates(["response_id", "response_at"])
-    joined = own.join(matched.dropDuplicates(["record_id"]), "record_id", "left").join(old, ["response_id", "response_at"], "left")
+    old = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.col("headers").alias("old"), "body")
+    held = scratch.save(old.join(asks, ["response_id", "response_at"]).dropDuplicates(["response_id", "response_at"]), "held")
+    joined = own.join(hot_join(found, held, ["response_id", "response_at"], "asks").drop("asks"), "record_id", "left")
     tag = lambda c: F.regexp_replace(F.try_element_at(c, F.lit("etag")), "^W/", "")
     day = lambda c: F.try_element_at(c, F.lit("last-modified"))
     new, had = F.col("new"), F.col("old")
