@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from signalweave.functions.text import composition_hash
 
+
 #: Short English function words that a phrase does not hold.
 STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "we", "with"]
 
@@ -75,16 +76,18 @@ def _runs(words: Column, n: int) -> Column:
     return out
 
 
-def document_frequency(df: DataFrame, key: str, title_phrases: str, phrases: str, day: str | None = None) -> DataFrame:
-    """Per phrase: documents, documents with it in the title, first and last day.
+def document_frequency(df: DataFrame, key: str, title_phrases: str | None, phrases: str, day: str | None = None) -> DataFrame:
+    """Per phrase: documents, documents with it in the title (where titles are given), first and last day.
 
     ``phrases`` (array) are those of the whole text, ``title_phrases`` those of the
     title. Each document counts once: its phrases are made distinct in its own
     row, so only one shuffle, of partial counts, is needed.
     """
-    days = [F.min("day").alias("first_day"), F.max("day").alias("last_day")] if day else []
-    each = df.select(F.explode(F.array_distinct(phrases)).alias("phrase"), F.col(title_phrases).alias("t"), *([F.col(day).alias("day")] if day else []))
-    return each.groupBy("phrase").agg(F.count("*").alias("docs"), F.count_if(F.array_contains("t", F.col("phrase"))).alias("title_docs"), *days)
+    more = [F.min("day").alias("first_day"), F.max("day").alias("last_day")] if day else []
+    if title_phrases:
+        more.insert(0, F.count_if(F.array_contains("t", F.col("phrase"))).alias("title_docs"))
+    each = df.select(F.explode(F.array_distinct(phrases)).alias("phrase"), *([F.col(title_phrases).alias("t")] if title_phrases else []), *([F.col(day).alias("day")] if day else []))
+    return each.groupBy("phrase").agg(F.count("*").alias("docs"), *more)
 
 
 def top_phrases(counts: DataFrame, k: int, least: int = 1) -> DataFrame:
@@ -114,6 +117,16 @@ class DiffusionPolicy:
     top_limit: int = 200
 
 
+def _same_works() -> Column:
+    """A name for the works of a phrase that partial aggregates can make: their number and two 64-bit sums of hashes.
+
+    A stop word's works never meet in one row; different sets of works share a
+    name with a chance of 2^-128.
+    """
+    hashed = lambda salt: F.sum(F.xxhash64(F.lit(salt), "work").cast("decimal(38,0)"))
+    return F.struct(F.count("*").alias("n"), hashed(1).alias("x"), hashed(2).alias("y")).alias("composition")
+
+
 def diffusion_candidates(mentions: DataFrame, works: DataFrame, recent: Column, prior: Column, policy: DiffusionPolicy = DiffusionPolicy()) -> DataFrame:
     """Phrases that are rare, grow and reach new areas, ranked by priority.
 
@@ -123,7 +136,7 @@ def diffusion_candidates(mentions: DataFrame, works: DataFrame, recent: Column,
     hits, then most words, then first by name stands for it.
     """
     total = works.agg(F.count_if(recent).alias("recent_n"), F.count_if(prior).alias("prior_n"))
-    per = mentions.groupBy("phrase").agg(F.count_if(recent).alias("recent_works"), F.count_if(prior).alias("prior_works"), F.count_if("in_title").alias("title_works"), F.min("window").alias("first_window"), F.collect_set("work").alias("members"))
+    per = mentions.groupBy("phrase").agg(F.count_if(recent).alias("recent_works"), F.count_if(prior).alias("prior_works"), F.count_if("in_title").alias("title_works"), F.min("window").alias("first_window"), _same_works())
     areas = mentions.withColumn("area", F.explode("areas")).groupBy("phrase", "area").agg(F.count_if(recent).alias("r"), F.count_if(prior).alias("p"))
     reach = areas.groupBy("phrase").agg(F.count_if(F.col("r") >= policy.min_docs_per_area).alias("recent_areas"), F.count_if(F.col("p") >= policy.min_docs_per_area).alias("prior_areas"))
     t = per.join(reach, "phrase").crossJoin(F.broadcast(total))
@@ -134,10 +147,13 @@ def diffusion_candidates(mentions: DataFrame, works: DataFrame, recent: Column,
         & (F.col("recent_areas") >= policy.min_recent_areas) & (F.col("area_gain") >= policy.min_area_gain) & (F.col("title_works") > 0)
     )
     priority = F.round((F.col("recent_share") - F.col("prior_share")) * F.log1p(F.col("recent_works").cast("double")) * F.log1p(F.col("area_gain").cast("double")), 12)
-    found = t.where(keep).select("phrase", "first_window", "recent_works", "prior_works", "recent_share", "prior_share", ratio.alias("share_ratio"), "recent_areas", "prior_areas", "area_gain", "title_works", priority.alias("priority"), composition_hash(F.col("members")).alias("composition"))
+    found = t.where(keep).select("phrase", "first_window", "recent_works", "prior_works", "recent_share", "prior_share", ratio.alias("share_ratio"), "recent_areas", "prior_areas", "area_gain", "title_works", priority.alias("priority"), "composition")
     first = F.row_number().over(W.partitionBy("composition").orderBy(F.col("title_works").desc(), F.size(F.split("phrase", " ")).desc(), "phrase"))
     alike = F.count("*").over(W.partitionBy("composition")) - 1
-    return found.withColumns({"same_works": alike, "_n": first}).where("_n = 1").drop("_n").orderBy(F.col("priority").desc(), "phrase").limit(policy.top_limit)
+    best = found.withColumns({"same_works": alike, "_n": first}).where("_n = 1").drop("_n", "composition").orderBy(F.col("priority").desc(), "phrase").limit(policy.top_limit)
+    # Only the reported phrases, rare by the policy, have their works listed and hashed.
+    listed = mentions.join(F.broadcast(best.select("phrase")), "phrase").groupBy("phrase").agg(composition_hash(F.collect_set("work")).alias("composition"))
+    return best.join(listed, "phrase").orderBy(F.col("priority").desc(), "phrase")
 
 
 def emergence_rerank(candidates: DataFrame, windows: int, place: Column, support_cap: int = 20, gain_cap: int = 5, power: int = 2) -> DataFrame:

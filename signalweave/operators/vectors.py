@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalweave.functions.vectors import cosine, dot, norm, unit
+from signalweave.operators import blocks
+from signalweave.operators.components import components_bounded
+from signalweave.storage import Scratch, broadcast_if_small
 
 #: Anchors up to which a blocked product takes them as one constant matrix.
 ANCHORS = 20_000
@@ -46,25 +49,20 @@ def nearest(df: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key
     """(key, anchor_key, similarity, rank): each row's ``k`` most similar anchors; ties by anchor key.
 
     Anchors up to ``ANCHORS`` are a constant matrix and every row is multiplied in
-    blocks; more are dealt in blocks of that size by a hash, each row meets every
-    block (a stated query set against all rows, in blocks) and only its best
-    ``k`` of each block go on to the last ranking.
+    blocks; more meet the rows block by block (a stated query set against all
+    rows), and only a row's best ``k`` of each block go on to the last ranking.
     """
-    total = anchors.limit(ANCHORS + 1).count()
     mine = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    pieces = [anchors] if total <= ANCHORS else None
-    if pieces is None:
-        n = -(-anchors.count() // (ANCHORS // 2))
-        part = F.pmod(F.xxhash64(anchor_key), F.lit(n))
-        pieces = [anchors.where(part == i) for i in range(n)]
-    found = None
-    for piece in pieces:
-        held = _matrix(piece, anchor_key, anchor_vector, [])
-        if held is None:
-            raise ValueError("an anchor block is too large")
+    held = _matrix(anchors, anchor_key, anchor_vector, [])
+    if held is None:
+        own = mine.select(F.lit(0).alias("all"), "k", unit(F.col("v")).alias("v"))
+        others = anchors.select(F.lit(0).alias("all"), F.col(anchor_key).cast("long").alias("k"), unit(F.col(anchor_vector).cast("array<double>")).alias("v"))
+        apart = (lambda a, b: a["k"].to_numpy()[:, None] != b["k"].to_numpy()[None, :]) if exclude_self else None
+        found = blocks.across(own, others, ["all"], "k", blocks.best_of_block([], "k", "v", k, apart), "k long, near long, similarity double").withColumnRenamed("near", "a")
+    else:
         ids, matrix = held[anchor_key].to_numpy().astype(np.int64), _unit_rows(held["v"])
 
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     some = batch.slice(at, 256)
@@ -78,8 +76,7 @@ def nearest(df: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key
                     row = np.broadcast_to(np.arange(len(own))[:, None], top.shape)[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[top[keep]]), pa.array(values[keep])], names=["k", "a", "similarity"])
 
-        one = mine.mapInArrow(best, "k long, a long, similarity double")
-        found = one if found is None else found.unionAll(one)
+        found = mine.mapInArrow(best, "k long, a long, similarity double")
     rank = F.row_number().over(W.partitionBy("k").orderBy(F.col("similarity").desc(), "a"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k").alias(key), F.col("a").alias(anchor_key if anchor_key != key else f"near_{key}"), "similarity", "rank")
 
@@ -87,12 +84,20 @@ def nearest(df: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key
 def novelty_before(anchors: DataFrame, key: str, order: str, vector: str) -> DataFrame:
     """1 - largest cosine with an anchor whose ``order`` is strictly earlier; null for the first.
 
-    Anchors are topics, few beside their works; the earlier side is broadcast by
-    Spark only under its size limit.
+    Anchors meet block by block, and each block gives its largest cosine alone.
     """
-    a, b = anchors.alias("a"), anchors.alias("b")
-    pairs = a.join(b, F.col("b." + order) < F.col("a." + order), "left")
-    return pairs.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{order}").alias(order)).agg((1 - F.max(cosine(F.col(f"a.{vector}"), F.col(f"b.{vector}")))).alias("novelty"))
+    best = earlier_best(anchors.select(F.col(key), F.col(order), F.col(vector)), key, order, vector)
+    return anchors.select(key, order).join(best, key, "left").select(key, order, (1 - F.col("similarity")).alias("novelty"))
+
+
+def earlier_best(df: DataFrame, key: str, order: str, vector: str) -> DataFrame:
+    """(key, near, similarity): each row's most similar row of a smaller ``order``; ties by the smaller key."""
+    rows = df.select(F.lit(0).alias("_all"), F.col(key), F.col(order).cast("double").alias("_o"), unit(F.col(vector).cast("array<double>")).alias("_v"))
+    before = lambda a, b: b["_o"].to_numpy()[None, :] < a["_o"].to_numpy()[:, None]
+    kind = dict(df.dtypes)[key]
+    found = blocks.across(rows, rows, ["_all"], key, blocks.best_of_block([], key, "_v", 1, before), f"{key} {kind}, near {kind}, similarity double")
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("similarity").desc(), "near"))
+    return found.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
 def nearest_background(topics: DataFrame, key: str, vector: str, background: DataFrame, background_key: str, background_vector: str) -> DataFrame:
@@ -120,14 +125,22 @@ def transitions(links: DataFrame, parent: str, child: str, children: DataFrame)
 def temporal_neighbours(df: DataFrame, key: str, day: str, vector: str, k: int = 20, max_gap: int = 1826, block_days: int = 1826) -> DataFrame:
     """Each row's ``k`` most similar earlier rows, at most ``max_gap`` days back; same-day rows by key; cosine clamped.
 
-    An as-of band join: rows meet in buckets of ``block_days`` (their own and the
-    one before), so that the band is an equi-join on buckets with a residual.
+    An as-of band join: rows meet in buckets of ``block_days`` (their own and
+    earlier ones within reach), there block by block, and only a row's best ``k``
+    of each block go on to the last ranking.
     """
-    d = F.col(day)
-    now = df.select(F.col(key).alias("k"), d.alias("d"), F.col(vector).alias("v"), F.explode(F.array(F.floor(d / block_days), F.floor(d / block_days) - 1)).alias("b"))
-    past = df.select(F.col(key).alias("near"), d.alias("pd"), F.col(vector).alias("pv"), F.floor(d / block_days).alias("b"))
-    earlier = ((F.col("pd") < F.col("d")) | ((F.col("pd") == F.col("d")) & (F.col("near") < F.col("k")))) & (F.col("d") - F.col("pd") <= max_gap)
-    met = now.join(past, "b").where(earlier).withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(cosine(F.col("v"), F.col("pv")), 12))))
+    d, kind = F.col(day).cast("long"), dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("k"), d.alias("d"), unit(F.col(vector).cast("array<double>")).alias("v"))
+    reach = -(-max_gap // block_days)
+    bucket = F.floor(F.col("d") / block_days)
+    now = rows.withColumn("b", F.explode(F.sequence(bucket - reach, bucket)))
+    past = rows.withColumn("b", bucket)
+
+    def allowed(a: pa.Table, b: pa.Table) -> np.ndarray:
+        gap = a["d"].to_numpy()[:, None] - b["d"].to_numpy()[None, :]
+        return ((gap > 0) | ((gap == 0) & (b["k"].to_numpy()[None, :] < a["k"].to_numpy()[:, None]))) & (gap <= max_gap)
+
+    met = blocks.across(now, past, ["b"], "k", blocks.best_of_block([], "k", "v", k, allowed), f"k {kind}, near {kind}, similarity double")
     rank = F.row_number().over(W.partitionBy("k").orderBy(F.col("similarity").desc(), "near"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k").alias(key), "near", "similarity", "rank")
 
@@ -143,45 +156,60 @@ def density_clusters(df: DataFrame, by: list[str], key: str, vector: str, simila
     """Density clusters within each group: (by, key, cluster), -1 for noise.
 
     Links have a cosine of at least ``similarity``; cores have ``neighbours``
-    links, themselves included; clusters are components of cores, numbered by
-    their smallest key; a border row goes to the cluster of its best mean link
-    (of equals, the higher number). One group is one window's topic space and is
-    held by one task in blocks.
+    links, themselves included; clusters are components of at least ``neighbours``
+    cores, numbered by their smallest key. A border row with a link to a cluster
+    goes to the one whose cores it is most like on average (of equals, the higher
+    number). Keys are numbers, each in one group. Rows meet block by block: counts
+    of links, links that join cores and clusters touched are all that leaves a block.
     """
-    names = [*by, key, "cluster"]
+    scratch = Scratch(df.sparkSession, "density")
     types = dict(df.dtypes)
-
-    def cluster(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(key)
-        x = _unit_rows(rows[vector])
-        n = len(x)
-        linked = [np.zeros(0, np.int64)] * n
-        for at in range(0, n, 512):
-            block = x[at : at + 512] @ x.T >= similarity
-            for i, row in enumerate(block):
-                linked[at + i] = np.flatnonzero(row)
-        core = np.array([len(r) >= neighbours for r in linked], bool)
-        label = np.full(n, -1, np.int64)
-        found = 0
-        for i in range(n):
-            if not core[i] or label[i] >= 0:
-                continue
-            label[i], front = found, [i]
-            while front:
-                for j in linked[front.pop()]:
-                    if core[j] and label[j] < 0:
-                        label[j] = found
-                        front.append(int(j))
-            found += 1
-        for i in np.flatnonzero(~core):
-            near = [int(j) for j in linked[i] if core[j]]
-            if near:
-                means = {c: float(np.mean([x[i] @ x[j] for j in near if label[j] == c])) for c in {int(label[j]) for j in near}}
-                label[i] = max(means, key=lambda c: (round(means[c], 12), c))
-        return pa.table({**{b: rows[b] for b in by}, key: rows[key], "cluster": pa.array(label)})
-
-    schema = ", ".join(f"{c} {types[c]}" for c in [*by, key]) + ", cluster long"
-    return df.select(*by, key, F.col(vector).cast("array<double>").alias(vector)).groupBy(*by).applyInArrow(cluster, schema).select(*names)
+    rows = scratch.save(df.select(*by, F.col(key).cast("long").alias("k"), unit(F.col(vector).cast("array<double>")).alias("v")), "rows")
+
+    def degree(a: pa.Table, b: pa.Table) -> pa.Table:
+        n = (blocks.matrix(a, "v") @ blocks.matrix(b, "v").T >= similarity).sum(axis=1)
+        return pa.table({"k": a["k"], "n": pa.array(n.astype(np.int64))})
+
+    counts = blocks.across(rows, rows, by, "k", degree, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    rows = scratch.save(rows.join(counts, "k", "left").withColumn("core", F.coalesce(F.col("n") >= neighbours, F.lit(False))).drop("n"), "cores")
+
+    def joins(a: pa.Table, b: pa.Table) -> pa.Table:
+        ka, kb = a["k"].to_numpy(), b["k"].to_numpy()
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := up.setdefault(x, x)) != x:
+                up[x] = x = up[p]
+            return x
+
+        out: list[tuple[int, int]] = []
+        for i, row in enumerate(blocks.matrix(a, "v") @ blocks.matrix(b, "v").T >= similarity):
+            for j in np.flatnonzero(row & (kb < ka[i])).tolist():
+                x, y = root(int(ka[i])), root(int(kb[j]))
+                if x != y:
+                    up[x] = y
+                    out.append((int(ka[i]), int(kb[j])))
+        return pa.table({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([y for _, y in out], pa.int64())})
+
+    cores = rows.where("core")
+    parts = components_bounded(blocks.across(cores, cores, by, "k", joins, "src long, dst long"), scratch, "cores_cc").withColumnRenamed("node", "k")
+    named = cores.join(parts, "k", "left").select(*by, "k", "v", F.coalesce("component", "k").alias("component"))
+    kept = named.groupBy(*by, "component").agg(F.count("*").alias("n")).where(F.col("n") >= neighbours)
+    numbers = kept.withColumn("cluster", F.row_number().over(W.partitionBy(*by).orderBy("component")).cast("long") - 1)
+    member = scratch.save(named.join(broadcast_if_small(numbers, blocks.GROUPS), [*by, "component"]).select(*by, "k", "v", "cluster"), "member")
+
+    def touched(a: pa.Table, b: pa.Table) -> pa.Table:
+        linked = blocks.matrix(a, "v") @ blocks.matrix(b, "v").T >= similarity
+        clusters, ka = b["cluster"].to_numpy(), a["k"].to_numpy()
+        found = [(int(ka[i]), int(c)) for i, row in enumerate(linked) for c in np.unique(clusters[row])]
+        return pa.table({"k": pa.array([k for k, _ in found], pa.int64()), "cluster": pa.array([c for _, c in found], pa.int64())})
+
+    border = rows.where("not core").select(*by, "k", "v", F.lit(None).cast("long").alias("cluster"))
+    near = blocks.across(border, member, by, "k", touched, "k long, cluster long").distinct().join(border.drop("cluster"), "k")
+    means = centroids(member, [*by, "cluster"], "v").select(*by, "cluster", "centroid")
+    best = near.join(means, [*by, "cluster"]).groupBy("k").agg(F.max(F.struct(F.round(dot(F.col("v"), F.col("centroid")), 12).alias("mean"), "cluster"))["cluster"].alias("cluster"))
+    cluster = member.select("k", "cluster").unionByName(best)
+    return rows.join(cluster, "k", "left").select(*by, F.col("k").cast(types[key]).alias(key), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def dominant(df: DataFrame, by: str, topic: str) -> DataFrame:

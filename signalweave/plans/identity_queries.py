@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from signalweave.operators import identity
-from signalweave.operators.components import components
+from signalweave.operators.components import components_bounded
 from signalweave.plans.registry import query
 from signalweave.storage import Scratch, table
 
@@ -45,12 +45,14 @@ def identifier_lookup(spark, folder):
     return identity.identifier_lookup(incoming, known, ["url", "doi"])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_suppkey AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, 1000000000 + o_custkey AS b FROM orders UNION ALL SELECT 1000000000 + c_custkey, 1000000000 + CAST(floor(c_custkey / 3) * 3 AS BIGINT) FROM customer), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(n, m) AS (SELECT a, a FROM b UNION SELECT r.n, b.b FROM r JOIN b ON b.a = r.m), c AS (SELECT n AS node, min(m) AS component FROM r GROUP BY n)
 SELECT component, count(*) AS nodes FROM c GROUP BY component""")
 def component_sizes(spark, folder):
-    edges = table(spark, folder, "lineitem").where("l_linenumber = 1 and l_quantity >= 45").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
-    return components(edges, Scratch(spark, "components")).groupBy("component").agg(F.count("*").alias("nodes"))
+    """Orders, their customers and households of three customers."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 1_000_000_000).alias("dst"))
+    homes = table(spark, folder, "customer").select((F.col("c_custkey") + 1_000_000_000).alias("src"), (F.floor(F.col("c_custkey") / 3) * 3 + 1_000_000_000).alias("dst"))
+    return components_bounded(orders.unionAll(homes), Scratch(spark, "components")).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - 1 END AS up FROM nation), c(id, up, root, depth) AS (SELECT id, up, id, 0 FROM n WHERE up IS NULL UNION ALL SELECT n.id, n.up, c.root, c.depth + 1 FROM n JOIN c ON n.up = c.id)

@@ -269,8 +269,8 @@ def interleave_2_1(spark, folder):
     events = table(spark, folder, "events").select("event_id", "event_type", "value")
     ends = events.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
     t = events.crossJoin(F.broadcast(ends))
-    out = ranking.interleave(t.where("event_type = lo").select("event_id", "value"), t.where("event_type = hi").select("event_id", "value"), [F.col("value").desc(), F.col("event_id")])
-    return out.orderBy("place").limit(60).select("event_id", "source", F.col("place").cast("long"))
+    out = ranking.interleave(t.where("event_type = lo").select("event_id", "value"), t.where("event_type = hi").select("event_id", "value"), [F.col("value").desc(), F.col("event_id")], 60)
+    return out.select("event_id", "source", F.col("place").cast("long"))
 
 
 @query("""WITH t AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events),

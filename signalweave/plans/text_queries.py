@@ -41,7 +41,7 @@ SELECT phrase, count(*) AS docs FROM n GROUP BY phrase ORDER BY docs DESC, phras
 def top_phrases(spark, folder):
     w = ascii_words(F.col("text"))
     t = table(spark, folder, "documents").select("doc_id", phrases.ngrams(w, 2, 2).alias("p"))
-    return phrases.top_phrases(phrases.document_frequency(t.withColumn("tp", F.array().cast("array<string>")), "doc_id", "tp", "p"), 100).select("phrase", "docs")
+    return phrases.top_phrases(phrases.document_frequency(t, "doc_id", None, "p"), 100).select("phrase", "docs")
 
 
 @query(f"SELECT doc_id, {has_sql('text', 'of the')} AS literal, ({has_sql('text', 'of the')} OR {has_sql('text', 'de la')}) AND NOT {has_sql('text', 'und der')} AS planned FROM documents")

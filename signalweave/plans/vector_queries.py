@@ -17,11 +17,11 @@ def emb(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding", F.floor(F.col("vec_id") / 100).alias("win"))
 
 
-@query(f"""WITH {E_SQL}, a AS (SELECT * FROM u WHERE vec_id < 100), p AS (SELECT u.vec_id, a.vec_id AS near, round(list_inner_product(u.n, a.n), 12) AS s FROM u JOIN a ON u.vec_id <> a.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near) AS rank FROM p)
+@query(f"""WITH {E_SQL}, p AS (SELECT q.vec_id, a.vec_id AS near, round(list_inner_product(q.n, a.n), 12) AS s FROM u q JOIN u a ON q.vec_id <> a.vec_id AND q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near) AS rank FROM p)
 SELECT vec_id, near AS near_vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""")
 def cosine_topk(spark, folder):
     e = emb(spark, folder)
-    t = vectors.nearest(e, "vec_id", "embedding", e.where("vec_id < 100"), "vec_id", "embedding", 5, exclude_self=True)
+    t = vectors.nearest(e.where("vec_id % 100 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", 5, exclude_self=True)
     return t.select("vec_id", "near_vec_id", F.col("rank").cast("long"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -116,10 +116,19 @@ def embedding_status(spark, folder):
     return t.agg(F.count("*").alias("works"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") != 64).alias("wrong_size"), F.count_distinct("n").alias("sizes"))
 
 
-@query(None)
+def density_sql(similarity: float, least: int) -> str:
+    """Cores, their components by recursion, component sizes and border rows, as in ``vectors.density_clusters``."""
+    return f"""WITH RECURSIVE {E_SQL}, p AS (SELECT a.win, a.vec_id AS a, b.vec_id AS b, list_inner_product(a.n, b.n) AS s FROM u a JOIN u b ON a.win = b.win),
+k AS (SELECT win, a AS k FROM p WHERE s >= {similarity} GROUP BY win, a HAVING count(*) >= {least}), kk AS (SELECT x.win, p.a, p.b FROM p JOIN k x ON x.k = p.a JOIN k y ON y.k = p.b WHERE p.s >= {similarity}),
+r(win, k, m) AS (SELECT win, k, k FROM k UNION SELECT r.win, r.k, kk.b FROM r JOIN kk ON kk.a = r.m), c AS (SELECT win, k, min(m) AS c FROM r GROUP BY win, k),
+z AS (SELECT win, c, row_number() OVER (PARTITION BY win ORDER BY c) - 1 AS cluster FROM c GROUP BY win, c HAVING count(*) >= {least}), m AS (SELECT c.win, c.k, z.cluster FROM c JOIN z USING (win, c)),
+t AS (SELECT p.a AS k, m.cluster, avg(p.s) AS mean, max(p.s) AS top FROM p JOIN m ON m.k = p.b WHERE p.a NOT IN (SELECT k FROM k) GROUP BY p.a, m.cluster HAVING max(p.s) >= {similarity}),
+b AS (SELECT k, max((round(mean, 12), cluster))[2] AS cluster FROM t GROUP BY k) SELECT e.win, e.vec_id, CAST(coalesce(m.cluster, b.cluster, -1) AS BIGINT) AS cluster FROM e LEFT JOIN m ON m.k = e.vec_id LEFT JOIN b ON b.k = e.vec_id"""
+
+
+@query(density_sql(0.35, 4))
 def density_cluster(spark, folder):
-    """Density clusters per window; tested against brute force."""
-    return vectors.density_clusters(emb(spark, folder), ["win"], "vec_id", "embedding", 0.35, 2)
+    return vectors.density_clusters(emb(spark, folder), ["win"], "vec_id", "embedding", 0.35, 4)
 
 
 @query(f"""WITH {E_SQL}, x AS (SELECT win, generate_subscripts(v, 1) AS d, unnest(v) AS y FROM e), c AS (SELECT win, list(m ORDER BY d) AS v FROM (SELECT win, d, avg(y) AS m FROM x GROUP BY ALL) GROUP BY win),
@@ -136,7 +145,7 @@ def geometry_features(spark, folder):
     """Distribution of cosines per label; tested against NumPy."""
     from signalweave.operators import topics
 
-    return topics.geometry(emb(spark, folder), "label", "embedding")
+    return topics.geometry(emb(spark, folder), "label", "vec_id", "embedding")
 
 
 @query(None)
