@@ -1,6 +1,6 @@
 """The catalogue of named queries and their SQL equivalents."""
 
-from signalweave.plans import identity_queries, review_queries, series_queries, text_queries, vector_queries
+from signalweave.plans import evidence_queries, identity_queries, review_queries, series_queries, text_queries, vector_queries
 from signalweave.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "identity_queries", "review_queries", "series_queries", "text_queries", "vector_queries"]
+__all__ = ["ORACLES", "QUERIES", "evidence_queries", "identity_queries", "review_queries", "series_queries", "text_queries", "vector_queries"]
