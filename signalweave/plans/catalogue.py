@@ -1,6 +1,6 @@
 """The catalogue of named queries and their SQL equivalents."""
 
-from signalweave.plans import evidence_queries, identity_queries, record_queries, review_queries, series_queries, text_queries, vector_queries
+from signalweave.plans import diagnostic_queries, evidence_queries, identity_queries, provider_queries, record_queries, review_queries, series_queries, text_queries, vector_queries
 from signalweave.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence_queries", "identity_queries", "record_queries", "review_queries", "series_queries", "text_queries", "vector_queries"]
+__all__ = ["ORACLES", "QUERIES", "diagnostic_queries", "evidence_queries", "identity_queries", "provider_queries", "record_queries", "review_queries", "series_queries", "text_queries", "vector_queries"]

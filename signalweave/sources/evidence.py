@@ -69,9 +69,12 @@ def parse(payloads: DataFrame, provider: Provider, since: str, until: str, query
     """(key, title, day, link, place): usable rows of JSON ``payload`` texts, one for each key, capped in the provider's way.
 
     Unknown days are not usable; they are not zero. ``place`` is the order in the
-    source. Where the provider's rule says so, a row outside the period raises.
+    source: the column ``page`` of ``payloads`` where there is one (else a hash of
+    the payload), then the place in the payload. Where the provider's rule says so,
+    a row outside the period raises.
     """
-    item = payloads.select(F.from_json("payload", provider.schema).alias("p"), F.monotonically_increasing_id().alias("page")).select("page", F.posexplode(f"p.{provider.items}").alias("i", "r"))
+    page = F.col("page") if "page" in payloads.columns else F.xxhash64("payload")
+    item = payloads.select(F.from_json("payload", provider.schema).alias("p"), page.cast("long").alias("page")).select("page", F.posexplode(f"p.{provider.items}").alias("i", "r"))
     day = F.try_to_date(F.substring(F.col(f"r.{provider.day}"), 1, 8 if provider.day_format == "yyyyMMdd" else 10), provider.day_format)
     t = item.select(F.col(f"r.{provider.key}").alias("key"), F.col(f"r.{provider.title}").alias("title"), day.alias("day"), (F.col(f"r.{provider.link}") if provider.link else F.lit(None).cast("string")).alias("link"), "page", "i")
     inside = (F.col("day") >= F.lit(since).cast("date")) & (F.col("day") < F.lit(until).cast("date"))
