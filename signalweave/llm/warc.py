@@ -13,6 +13,8 @@ from .urls import canonical
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning"]
 #: Seconds of a URL's history that one window partition holds.
 SLICE = 86_400
+#: Responses up to which the ids asked for are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def _lowered(headers: Column) -> Column:
@@ -37,8 +39,9 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFram
 
     The as-of join looks within a slice of a URL's time first, then takes the
     last response of an earlier slice from a pre-aggregated table, so that a URL
-    with a third of all records is spread over its slices. Bodies are fetched
-    once, by record, after the match.
+    with a third of all records is spread over its slices. Headers decide before
+    any body moves; bodies are fetched once, by record. Of responses that repeat an
+    id and time, the one with the smallest body digest, then headers, counts.
     """
     rows = records.select("record_id", "url", F.col("at").cast("long").alias("at"), "kind", _lowered(F.col("headers")).alias("headers"), "body").withColumns({"uri": canonical(F.col("url")), "slice": F.floor(F.col("at") / slice_seconds)})
     order = F.struct("at", "record_id")
@@ -51,15 +54,16 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFram
     wanted = asked.where("found is null").select("uri", "slice").distinct().withColumn("last", F.lit(None).cast(lasts.schema["last"].dataType))
     earlier = lasts.unionByName(wanted).groupBy("uri", "slice").agg(F.max("last").alias("last")).withColumn("before", F.last("last", ignorenulls=True).over(W.partitionBy("uri").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))).select("uri", "slice", "before")
     matched = asked.join(earlier, ["uri", "slice"], "left").select("record_id", F.coalesce("found", "before")["record_id"].alias("response_id"), F.coalesce("found", "before")["at"].alias("response_at"))
-    # Only responses that some revisit found are read whole; those that very many found are broadcast to them.
     scratch = Scratch(records.sparkSession, "warc")
+    key = ["response_id", "response_at"]
     matched = scratch.save(matched.dropDuplicates(["record_id"]), "matched")
     found = matched.where("response_id is not null")
-    asks = scratch.save(found.groupBy("response_id", "response_at").agg(F.count("*").alias("asks")), "asks")
+    asks = scratch.save(found.groupBy(*key).agg(F.count("*").alias("asks")), "asks")
     own = rows.where("kind = 'revisit'").select("record_id", "url", F.col("uri").alias("canonical_url"), "at", F.col("headers").alias("new"))
-    old = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.col("headers").alias("old"), "body")
-    held = scratch.save(old.join(asks, ["response_id", "response_at"]).dropDuplicates(["response_id", "response_at"]), "held")
-    joined = own.join(hot_join(found, held, ["response_id", "response_at"], "asks").drop("asks"), "record_id", "left")
+    full = rows.where("kind = 'response' and at is not null").select(F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.coalesce(F.md5("body"), F.lit("")).alias("digest"), "headers", "body")
+    held = full.select(*key, "digest", F.array_sort(F.map_entries("headers")).alias("old")).join(asks, key).groupBy(*key, "asks").agg(F.min(F.struct("digest", "old")).alias("pick"))
+    held = scratch.save(held.select(*key, "asks", "pick.digest", F.map_from_entries("pick.old").alias("old")), "held")
+    joined = own.join(hot_join(found, held, key, "asks").drop("asks"), "record_id", "left")
     tag = lambda c: F.regexp_replace(F.try_element_at(c, F.lit("etag")), "^W/", "")
     day = lambda c: F.try_element_at(c, F.lit("last-modified"))
     new, had = F.col("new"), F.col("old")
@@ -67,9 +71,32 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFram
     status = F.when(F.col("response_id").isNull(), "orphan").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
     renewed = F.map_filter("new", lambda k, _: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter("old", lambda k, _: ~F.array_contains(F.map_keys(renewed), k)), renewed)
-    out = joined.withColumn("status", status)
     resolved = F.col("status") == "resolved"
-    return out.select("record_id", "url", "canonical_url", "at", "response_id", "response_at", "status", F.when(resolved, merged).alias("headers"), F.when(resolved, F.col("body")).alias("body"))
+    columns = ["record_id", "url", "canonical_url", "at", *key, "status", "headers"]
+    judged = scratch.save(joined.withColumn("status", status).withColumn("headers", F.when(resolved, merged)).select(*columns, "digest"), "judged")
+    unsolved = judged.where(~resolved).select(*columns, F.lit(None).cast(full.schema["body"].dataType).alias("body"))
+    return _with_bodies(judged.where(resolved), full.select(*key, "digest", "body"), asks, key).select(*columns, "body").unionByName(unsolved)
+
+
+def _with_bodies(solved: DataFrame, bodies: DataFrame, asks: DataFrame, key: list[str]) -> DataFrame:
+    """Resolved revisits with their bodies, each of which is shuffled once.
+
+    A response with more than a share of 1 in 4 x partitions of the matches (so at
+    most 4 x partitions of them) is dealt to as many parts as it has such shares.
+    Where under half of the responses are asked for and these are few, the others'
+    bodies are left out before the shuffle.
+    """
+    least = max(1, asks.agg(F.sum("asks")).first()[0] or 0) // (4 * int(solved.sparkSession.conf.get("spark.sql.shuffle.partitions"))) or 1
+    hot = F.broadcast(asks.where(F.col("asks") > least).select(*key, F.ceil(F.col("asks") / least).alias("parts")))
+    wanted = solved.select(*key).distinct()
+    n = wanted.limit(BROADCAST_IDS + 1).count()
+    if n <= BROADCAST_IDS and 2 * n < bodies.count():
+        bodies = bodies.join(F.broadcast(wanted), key, "left_semi")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = bodies.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    asked = solved.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64("record_id"), parts)).drop("parts")
+    by = [*key, "digest", "part"]
+    return asked.join(dealt.dropDuplicates(by), by)
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -151,3 +151,34 @@ def test_a_hot_response_and_clashing_names(spark):
     got = {r.record_id: (r.response_id, r.status, r.body) for r in warc.resolve_revisits(df).collect()}
     assert got == {**{k: (0, "resolved", "body") for k in range(1, 300)}, **{2000 + k: (1000 + k, "resolved", f"b{k}") for k in range(100)}}
 
+
+
+def test_revisits_against_all_earlier_responses(spark):
+    """Random histories, repeated rows, equal ids and times, null and empty bodies; few and many of the responses are asked for."""
+    r = random.Random(9)
+    for asks in (40, 400):
+        rows = []
+        for k in range(300):
+            u, at = r.choice("ppppqrstuvw"), r.randrange(60)
+            rows.append((k, f"http://h.io/{u}", at, "response", r.choice([{"ETag": f"{u}{r.randrange(2)}"}, {"Last-Modified": "m"}, {}]), r.choice([None, "", f"b{k}"])))
+        rows += [*rows[:50], *[(k, u, at, kind, {"ETag": "other"}, "z") for k, u, at, kind, _, _ in rows[50:80]]]
+        rows += [(1000 + k, f"http://h.io/{u}", r.randrange(80), "revisit", r.choice([{"etag": f"W/{u}{r.randrange(2)}"}, {"last-modified": r.choice("mn")}, None]), None) for k, u in enumerate(r.choices("ppppqrstuvwx", k=asks))]
+        want = {}
+        for k, u, at, kind, asked, _ in rows:
+            if kind != "revisit":
+                continue
+            earlier = [x for x in rows if x[3] == "response" and x[1] == u and (x[2], x[0]) < (at, k)]
+            if not earlier:
+                want[k] = (None, "orphan", None)
+                continue
+            last = max((x[2], x[0]) for x in earlier)
+            digest = lambda b: "" if b is None else hashlib.md5(b.encode()).hexdigest()
+            _, headers, body = min((digest(x[5]), sorted((a.lower(), b) for a, b in x[4].items()), x[5]) for x in earlier if (x[2], x[0]) == last)
+            had, asked = dict(headers), asked or {}
+            pairs = [(asked[n].removeprefix("W/"), had[n]) for n in ("etag", "last-modified") if n in asked and n in had]
+            status = "unchecked" if not pairs else "resolved" if pairs[0][0] == pairs[0][1] else "mismatch"
+            want[k] = (last[1], status, body if status == "resolved" else None)
+        df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, headers map<string,string>, body string")
+        got = warc.resolve_revisits(df, 20).collect()
+        assert len(got) == asks and {x.record_id: (x.response_id, x.status, x.body) for x in got} == want
+        assert {s for _, s, _ in want.values()} == {"orphan", "unchecked", "resolved", "mismatch"}
