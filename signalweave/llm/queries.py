@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, licenses, media, neardup, packing, quality, suffix, urls, warc, wordpiece
+from . import audit, decontaminate, licenses, manifest, media, neardup, packing, quality, suffix, urls, warc, wordpiece
 
 QUERIES = {
     "op1_minhash_neardup": neardup.op1_minhash_neardup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_token_counts": wordpiece.op10_token_counts,
     "op12_filter_audit": audit.op12_filter_audit,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_neardup": neardup.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
     "op12_filter_audit": audit.OP12_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
