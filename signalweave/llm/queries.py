@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, licenses, manifest, media, neardup, packing, quality, suffix, urls, warc, wordpiece
+from . import audit, decontaminate, licenses, manifest, media, mixing, neardup, packing, quality, suffix, urls, warc, wordpiece
 
 QUERIES = {
     "op1_minhash_neardup": neardup.op1_minhash_neardup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_token_counts": wordpiece.op10_token_counts,
+    "op11_source_mixing": mixing.op11_source_mixing,
     "op12_filter_audit": audit.op12_filter_audit,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": suffix.OP7_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
+    "op11_source_mixing": mixing.OP11_SQL,
     "op12_filter_audit": audit.OP12_SQL,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }
