@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from .common import table, text_bytes
 from .wordpiece import byte_vocabulary
 
+#: White-space characters in a row from which a run is cut apart; white space as the expression below knows it.
+LONG_BLANK = 10_000
+LONG_BLANK_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_BLANK)
+
 #: Fixed value: how the vocabulary's makers cut a text before merging pairs.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -70,14 +75,46 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def tokenizer(path: str, added: bool = False):
-    """The byte-level BPE of a tokenizer file; its added tokens in texts are their own ids with ``added``, else ordinary text."""
-    import tiktoken
+class ByteTokenizer:
+    """The byte-level BPE of a tokenizer file, for texts of any kind.
+
+    Added tokens in texts are their own ids with ``added``, else ordinary text. A
+    run of white space from ``LONG_BLANK`` characters on is taken out of the text
+    before the expression that cuts pieces sees it, which would go back over it
+    character by character: by ``PIECES`` the run, less a last character that
+    something else follows, is one piece.
+    """
 
-    with open(path, encoding="utf-8") as f:
-        special = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])} if added else {}
-    ranks = byte_vocabulary(path)
-    return tiktoken.Encoding("corpus", pat_str=PIECES, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens=special)
+    def __init__(self, path: str, added: bool = False):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])} if added else {}
+        ranks = {k: v for k, v in byte_vocabulary(path).items() if k != b"<|endoftext|>"}
+        self.special = special
+        self.parts = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
+        self.plain = tiktoken.Encoding("corpus", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def _ordinary(self, text: str) -> list[int]:
+        ids: list[int] = []
+        at = 0
+        for run in LONG_BLANK_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.plain.encode_ordinary(text[at : run.start()])
+            ids += self.plain._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.plain.encode_ordinary(text[at:])
+
+    def encode(self, text: str) -> list[int]:
+        if self.parts is None:
+            return self._ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for token in self.parts.finditer(text):
+            ids += self._ordinary(text[at : token.start()])
+            ids.append(self.special[token.group()])
+            at = token.end()
+        return ids + self._ordinary(text[at:])
 
 
 def token_pieces(docs: DataFrame, path: str, window: int, end_id: int, added: bool = False) -> DataFrame:
@@ -89,11 +126,11 @@ def token_pieces(docs: DataFrame, path: str, window: int, end_id: int, added: bo
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            made.append(tokenizer(path, added))
+            made.append(ByteTokenizer(path, added))
         for batch in batches:
             docs_at, start, length, crc, total = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                ids = np.array([*made[0].encode(text_bytes(value.as_py()).decode("utf-8", "replace"), allowed_special="all"), end_id], "<u4")
+                ids = np.array([*made[0].encode(text_bytes(value.as_py()).decode("utf-8", "replace")), end_id], "<u4")
                 for s in range(0, len(ids), window):
                     part = ids[s : s + window]
                     docs_at.append(i)

@@ -145,3 +145,11 @@ def test_token_counts(spark):
     for i, t in TEXTS:
         words = (t or "").encode().split()
         assert (got[i].n_words, got[i].n_tokens) == (len(words), sum(greedy(w, initial, inner) for w in words))
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x y" + "\t" * 2_000_000 + "<|endoftext|>" + " " * 300_000, "\t " * 600_000 + "1", "\x1c" + "　" * 20_000 + "\x1c \x00", "word" * 300_000])
+def test_long_runs_have_the_tokenizer_s_ids(text):
+    import tokenizers
+
+    path = P.path("byte_bpe_50k.json")
+    assert packing.ByteTokenizer(path, added=True).encode(text) == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
