@@ -84,16 +84,17 @@ def landmarks(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return t.withColumn("landmark", role).where("landmark is not null").drop("_i", "_n")
 
 
-def interleave(first: DataFrame, second: DataFrame, order: list[Column], n: int, a: int = 2, b: int = 1) -> DataFrame:
-    """The first ``n`` rows of ``a`` rows of the first list, then ``b`` of the second, and so on; the rest follows.
+def interleave(first: DataFrame, second: DataFrame, order: list[Column], n: int | None = None, a: int = 2, b: int = 1) -> DataFrame:
+    """The first ``n`` rows (default: all) of ``a`` rows of the first list, then ``b`` of the second, and so on; the rest follows.
 
     Adds ``source`` and ``place``. Only the first ``n`` of each list, which a top-n
     finds without sorting the list, can be among them; ranks are given to those.
     """
     rank = F.row_number().over(W.orderBy(*order)) - 1
-    one = first.orderBy(*order).limit(n).withColumns({"source": F.lit(1), "_r": rank}).withColumn("_s", F.floor(F.col("_r") / a) * (a + b) + F.col("_r") % a)
-    two = second.orderBy(*order).limit(n).withColumns({"source": F.lit(2), "_r": rank}).withColumn("_s", F.floor(F.col("_r") / b) * (a + b) + a + F.col("_r") % b)
-    return one.unionByName(two).orderBy("_s", "source").limit(n).withColumn("place", F.row_number().over(W.orderBy("_s", "source"))).drop("_r", "_s")
+    top = lambda df, *by: df.orderBy(*by) if n is None else df.orderBy(*by).limit(n)
+    one = top(first, *order).withColumns({"source": F.lit(1), "_r": rank}).withColumn("_s", F.floor(F.col("_r") / a) * (a + b) + F.col("_r") % a)
+    two = top(second, *order).withColumns({"source": F.lit(2), "_r": rank}).withColumn("_s", F.floor(F.col("_r") / b) * (a + b) + a + F.col("_r") % b)
+    return top(one.unionByName(two), "_s", "source").withColumn("place", F.row_number().over(W.orderBy("_s", "source"))).drop("_r", "_s")
 
 
 def lanes(df: DataFrame, by: list[str], lane: str, order: list[Column]) -> DataFrame:
