@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalweave.storage import Scratch, broadcast_if_small, hot_join, shared_dir, table
 
-__all__ = ["CHUNK_BYTES", "Scratch", "broadcast_if_small", "chunks", "hot_join", "lower_ascii", "shared_dir", "table", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "Scratch", "broadcast_if_small", "chunks", "hot_join", "lower_ascii", "shared_dir", "table", "text_bytes", "text_hash"]
 
 #: Text bytes handled at once by the Python stages, so that memory stays bounded whatever a batch holds.
 CHUNK_BYTES = 1 << 20
@@ -24,6 +24,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, CAPITALS, SMALL)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one doc_id apart; null is a text of its own."""
+    return F.xxhash64(text.cast("string"))
+
+
 def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 

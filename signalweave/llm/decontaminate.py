@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, table
+from .common import Scratch, lower_ascii, table, text_hash
 
 #: Words of a benchmark window; words that one row of the index spans.
 WINDOW, BLOCK = 10, 2048
@@ -13,8 +13,6 @@ WINDOW, BLOCK = 10, 2048
 PLAN_WORDS = 50_000
 #: Window starts and words up to which benchmark tables are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Tasks that the rows of one word or code are dealt to where those joins shuffle.
-SALTS = 64
 
 #: Fixed value: what parts words. Digits, letters and everything outside ASCII belong to words.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,8 +37,12 @@ def _blocks(docs: DataFrame, window: int, block: int) -> DataFrame:
     return whole.withColumn("base", base).select("doc_id", "n_words", "base", F.slice("all", F.col("base") + 1, F.lit(block + window - 1)).alias("w"))
 
 
+#: Bits of a place in a block; the other 52 of a posting's 64 are the word's code.
+PLACE_BITS = 12
+
+
 def _code(word: Column, salt: int) -> Column:
-    return F.hash(F.lit(salt), word)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), word), PLACE_BITS)
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame, salt: int, window: int = WINDOW, block: int = BLOCK, plan_words: int = PLAN_WORDS) -> DataFrame:
@@ -48,30 +50,30 @@ def postings(docs: DataFrame, vocabulary: DataFrame, salt: int, window: int = WI
 
     ``pos`` and ``code`` hold the places in the block and the codes of the words
     that are in ``vocabulary`` (word). A vocabulary of up to ``plan_words`` is a
-    hash set in the plan; a larger one is joined with the words instead, each
-    word dealt to ``SALTS`` tasks.
+    hash set in the plan; a larger one is joined with the words instead, by
+    broadcast up to ``BROADCAST_ROWS`` words.
     """
     blocks = _blocks(docs, window, block)
     known = [r[0] for r in vocabulary.limit(plan_words + 1).collect()]
     if len(known) <= plan_words:
-        hit = F.filter(F.transform("w", lambda w, i: F.when(w.isin(known), F.struct(i.alias("i"), _code(w, salt).alias("c")))), lambda x: x.isNotNull()) if known else F.array().cast("array<struct<i:int,c:int>>")
+        hit = F.filter(F.transform("w", lambda w, i: F.when(w.isin(known), F.struct(i.alias("i"), _code(w, salt).alias("c")))), lambda x: x.isNotNull()) if known else F.array().cast("array<struct<i:int,c:bigint>>")
         found = blocks.select("doc_id", "n_words", "base", hit.alias("hit"))
         return found.select("doc_id", "n_words", "base", F.col("hit.i").alias("pos"), F.col("hit.c").alias("code"))
-    each = blocks.select("doc_id", "base", F.posexplode("w").alias("i", "word")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "base", "i"), F.lit(SALTS)).cast("int"))
-    kept = each.join(_salted(vocabulary), ["word", "salt"]).select("doc_id", "base", F.struct("i", _code(F.col("word"), salt).alias("c")).alias("x"))
+    each = blocks.select("doc_id", "base", F.posexplode("w").alias("i", "word"))
+    kept = each.join(_spread(vocabulary), "word").select("doc_id", "base", F.struct("i", _code(F.col("word"), salt).alias("c")).alias("x"))
     per = kept.groupBy("doc_id", "base").agg(F.sort_array(F.collect_list("x")).alias("hit"))
-    empty = F.array().cast("array<int>")
+    no_place, no_code = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     joined = blocks.drop("w").alias("b").join(per.alias("p"), F.col("b.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("b.base") == F.col("p.base")), "left")
-    return joined.select("b.doc_id", "b.n_words", "b.base", F.coalesce("hit.i", empty).alias("pos"), F.coalesce("hit.c", empty).alias("code"))
+    return joined.select("b.doc_id", "b.n_words", "b.base", F.coalesce("hit.i", no_place).alias("pos"), F.coalesce("hit.c", no_code).alias("code"))
 
 
-def _salted(words_of: DataFrame) -> DataFrame:
-    """A table of the benchmark once for each salt, so that a very common word's rows meet it in ``SALTS`` tasks."""
-    return words_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _spread(of_benchmark: DataFrame) -> DataFrame:
+    """The benchmark's side of a join: broadcast if its count allows, else sort-merged, where adaptive execution splits a very common word's rows."""
+    return F.broadcast(of_benchmark) if of_benchmark.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else of_benchmark.hint("merge")
 
 
 def _salt(vocabulary: DataFrame) -> int:
-    """A salt under which no two vocabulary words share a code."""
+    """A salt under which no two vocabulary words share a code: with 52 bits the first one, but for a chance of 1 in 90 at ten million words."""
     n, salt = vocabulary.count(), 0
     while vocabulary.select(_code(F.col("word"), salt).alias("c")).distinct().count() < n:
         salt += 1
@@ -79,8 +81,9 @@ def _salt(vocabulary: DataFrame) -> int:
 
 
 def _place(pos: Column, code: Column) -> Column:
-    """A posting as one number: place, then code."""
-    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(code.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    """A posting as one number: code, then place; no posting has a place outside the block."""
+    inside = pos.between(0, (1 << PLACE_BITS) - 1)
+    return F.when(inside, F.shiftleft(code, PLACE_BITS).bitwiseOR(pos.cast("long"))).otherwise(F.lit(-1).cast("long"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, block: int = BLOCK, gap: int = 0, plan_words: int = PLAN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +96,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int
     places off (proximity), and ``exact`` tells the two apart. Words' numbers in
     the corpus are counted over the whole index.
     """
+    if block + window + gap >= 1 << PLACE_BITS:
+        raise ValueError("a block and a window must fit the bits of a place")
     wins = scratch.save(benchmark_windows(benchmark, window), "windows")
     vocabulary = scratch.save(wins.select(F.explode("terms").alias("word")).distinct(), "vocabulary")
     salt = _salt(vocabulary)
@@ -106,14 +111,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int
     seed = F.struct("first", "size", F.transform(F.slice("t", 2, window), lambda x: F.struct((F.col("first") + x["off"]).alias("off"), x["code"].alias("code"))).alias("rest"))
     seeds = ordered.groupBy("item_id", "version", F.col("t")[0]["code"].alias("code"), (F.col("first") + F.col("t")[0]["off"]).alias("item_at")).agg(F.collect_list(seed).alias("wins"))
     seeds = scratch.save(seeds, "seeds")
-    small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rare_codes = seeds.select("code").distinct()
     rare = [r[0] for r in rare_codes.limit(plan_words + 1).collect()]
     held = index.withColumn("p", F.zip_with("pos", "code", _place))
     first = F.filter(F.arrays_zip("pos", "code"), lambda x: x["code"].isin(rare)) if 0 < len(rare) <= plan_words else F.arrays_zip("pos", "code")
     each = held.withColumn("at", F.explode(first)).select("doc_id", "base", "p", F.col("at.pos").alias("pos"), F.col("at.code").alias("code"))
-    dealt = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "base", "pos"), F.lit(SALTS)).cast("int"))
-    met = (each.join(F.broadcast(seeds), "code") if small else dealt.join(_salted(seeds), ["code", "salt"])).withColumn("diag", F.col("pos") - F.col("item_at"))
+    met = each.join(_spread(seeds), "code").withColumn("diag", F.col("pos") - F.col("item_at"))
 
     def near(off: Column, code: Column, within: int) -> Column:
         there = F.array_contains("p", _place(F.col("diag") + off, code))
@@ -132,15 +135,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, plan_words: int = PLAN_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
     A word inside any occurrence of a window is hit. Null and empty texts have
     no words; an empty benchmark hits nothing; benchmark items without words, or
-    repeated ones, add nothing. A row comes for each row of ``docs``; rows that
-    share a doc_id share its hits.
+    repeated ones, add nothing. A row comes for each row of ``docs``; different
+    texts of one doc_id are judged apart and told by ``text_hash``.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    sizes, found = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), scratch, window, block, plan_words=plan_words)
+    sizes, found = matches(docs.select(F.struct(F.col("doc_id").alias("doc_id"), text_hash(F.col("text")).alias("text_hash")).alias("doc_id"), "text"), benchmark.select("item_id", "text"), scratch, window, block, plan_words=plan_words)
     found = scratch.save(found.select("doc_id", "at", "size", "item_id").distinct(), "found")
     sizes = scratch.save(sizes, "sizes")
     scratch.keep("found", "sizes")
@@ -149,17 +152,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     per = covered.alias("c").join(items.alias("i"), F.col("c.doc_id").eqNullSafe(F.col("i.doc_id"))).select("c.doc_id", "n_hit", "items")
     joined = sizes.alias("s").join(per.alias("p"), F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
     return joined.select(
-        "s.doc_id",
+        F.col("s.doc_id.doc_id").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.col("s.doc_id.text_hash").alias("text_hash"),
     )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 OP8_SQL = r"""

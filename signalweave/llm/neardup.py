@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, chunks, table
-from .graph import components_bounded as components
+from signalweave.operators.components import components_bounded as components
+
+from .common import Scratch, broadcast_if_small, chunks, hot_join, table, text_hash
 
 #: Words of a shingle, orders, values of an order, shared values of a candidate.
 SHINGLE, TREES, DEPTH, FLOOR = 5, 16, 6, 2
@@ -90,7 +91,7 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, sig): set size, 128 bits that name the set, and the signature's values of 4 bytes."""
+    """(doc_id, text_hash, n_shingles, s1, s2, sig): set size, 128 bits that name the set, and the signature's values of 4 bytes."""
     made: list[Shingler] = []
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +112,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES, depth:
                     names[0, some] = np.add.reduceat(_mix(hashes), starts)
                     names[1, some] = np.add.reduceat(_mix(hashes * np.uint64(_BASE)), starts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in names), pa.array([row.tobytes() for row in sig], pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "sig"],
+                    [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in names), pa.array([row.tobytes() for row in sig], pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text"))).mapInArrow(read, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def _shared(keys: np.ndarray, step: int, tree: np.ndarray) -> np.ndarray:
@@ -369,19 +370,47 @@ def _merged(member: DataFrame, tested: DataFrame, scratch: Scratch, name: str) -
     return scratch.save(moved.select("node", F.coalesce("to", "component").alias("component")), f"member_{name}")
 
 
+class _Ids:
+    """A number for each (doc_id, text): the doc_id, but for further texts of one id, and for null ids, a number far below.
+
+    Nothing is renamed where each doc_id comes with one text, which one small
+    aggregate tells.
+    """
+
+    def __init__(self, seen: DataFrame, scratch: Scratch):
+        per = seen.groupBy("doc_id").agg(F.min("text_hash").alias("first_text"), F.max("text_hash").alias("last_text"))
+        self.several = scratch.save(per.where("doc_id is null or first_text <> last_text").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("first_text")).alias("first_text")), "several")
+        self.any = bool(self.several.limit(1).count())
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (doc_id, text_hash, ...) with ``id``."""
+        if not self.any:
+            return rows.withColumn("id", F.col("doc_id"))
+        other = broadcast_if_small(self.several.select(F.col("doc_id").alias("_doc"), "first_text", F.lit(True).alias("_some")), BROADCAST_IDS)
+        far = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 61))
+        changed = F.col("_some").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("first_text"))
+        return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("id", F.when(changed, far).otherwise(F.col("doc_id"))).drop("_doc", "_some", "first_text")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+    """Per document: doc_id, n_shingles, component_id, kept, text_hash, stays.
 
     A set is a text's different shingles of ``shingle`` words (A-Z lowered, words
     parted by ASCII white space), or its whole sequence if shorter. Null, empty
     and blank texts have none and are linked with nothing. Equal sets are one
     class from the start, whatever their number. Each row of ``docs`` gives a
-    row; rows that share a doc_id and text share all values.
+    row; rows that share a doc_id and text share all values. Different texts of
+    one doc_id are documents of their own, linked or not by what they hold; so
+    are rows without an id, whose component_id is the smallest id they reach, or
+    null. ``stays`` marks one text of each component: the one of the smallest
+    doc_id and, of several, the smallest hash.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
-    seen = scratch.save(sketches(docs.select("doc_id", "text"), shingle, trees, depth), "sketches")
-    classes = scratch.save(seen.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    sigs = seen.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "sig")
+    sketched = scratch.save(sketches(docs.select("doc_id", "text"), shingle, trees, depth), "sketches")
+    ids = _Ids(sketched.select("doc_id", "text_hash"), scratch)
+    seen = scratch.save(ids.named(sketched), "seen") if ids.any else ids.named(sketched)
+    classes = scratch.save(seen.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "classes")
+    sigs = hot_join(seen.where("n_shingles > 0").select("s1", "s2", "n_shingles", F.col("id").alias("row_id"), "sig"), classes, ["s1", "s2", "n_shingles"], "rows").where("row_id = id").select("id", "n_shingles", "sig")
     sigs = scratch.save(sigs.dropDuplicates(["id"]), "sigs")
 
     met = _neighbours(_sorted(_ordered(sigs, trees, depth)), scratch, "neighbours", NEAR, FLOOR, depth)
@@ -390,8 +419,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # Sets are made once, for every text that takes part in a candidate or lies in a dense region.
     asked = scratch.save(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).unionAll(dense).distinct(), "asked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(asked.withColumnRenamed("id", "doc_id"), BROADCAST_IDS), "doc_id")
-    sets = scratch.save(shingle_sets(texts.dropDuplicates(["doc_id"]), shingle), "sets")
+    texts = ids.named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")).join(broadcast_if_small(asked, BROADCAST_IDS), "id")
+    sets = scratch.save(shingle_sets(texts.select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"]), shingle), "sets")
 
     # First each text's likeliest two candidates; then those of the others that still join two components.
     ends = likely.select("a", "b", "like", F.col("a").alias("of")).unionAll(likely.select("a", "b", "like", F.col("b").alias("of")))
@@ -408,17 +437,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         now = sigs.join(dense, "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("comp"))
         ordered = _ordered(scratch.save(now, "dense"), trees, depth, "comp", "n")
         member = _merged(member, _unmet(ordered, sets, scratch, FLOOR, percent).withColumn("linked", F.lit(True)), scratch, "2")
-    of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    of_class = classes.join(member.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.col("rows").alias("n"))
     of_class = scratch.save(of_class, "of_class")
-    rows = scratch.save(seen.select("doc_id", "n_shingles", "s1", "s2"), "rows")
+    rows = scratch.save(seen.select("doc_id", "text_hash", "n_shingles", "s1", "s2"), "rows")
     scratch.keep("of_class", "rows")
-    joined = rows.join(of_class, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = hot_join(rows.where("n_shingles > 0"), of_class, ["s1", "s2", "n_shingles"], "n").select("doc_id", "text_hash", "n_shingles", "component_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if not ids.any:
+        return joined.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", kept.alias("stays"))
+    # Components are known by numbers of their own: by what id, and which of its texts, do they go?
+    joined = scratch.save(joined.withColumnRenamed("component_id", "component"), "joined")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    named = scratch.save(joined.groupBy("component").agg(least.alias("least"), F.count("*").alias("n")), "named")
+    least = hot_join(joined, named, ["component"], "n").select("doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("least_text"))
+    whole = least.unionByName(alone.withColumn("least_text", F.col("text_hash")))
+    return whole.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", (kept & (F.col("text_hash") == F.col("least_text"))).alias("stays"))
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP1_SQL = r"""

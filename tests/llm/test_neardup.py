@@ -1,10 +1,12 @@
 """Near-duplicates against all pairs."""
 
+import itertools
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signalweave.llm import neardup
 from signalweave.storage import Scratch
@@ -131,7 +133,7 @@ def test_very_long_texts(spark):
 def test_nulls_blanks_ties_repeats_and_extra_columns(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "a b"), (9, "A  b"), (10, "b a"), (11, "x " * 3000), (12, "x " * 2000), (12, "x " * 2000)]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], SCHEMA + ", kept int, component_id int")
-    got = sorted(map(tuple, neardup.near_duplicates(df).collect()))
+    got = sorted(map(tuple, neardup.near_duplicates(df).drop("text_hash", "stays").collect()))
     assert got == [(5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True), (9, 1, 8, False), (10, 1, 10, True), (11, 1, 11, True), (12, 1, 11, False), (12, 1, 11, False)]
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -146,3 +148,26 @@ def test_sets_are_exact():
     for t, p in zip(texts, parts):
         by[frozenset(shingles(t.decode()))].add(frozenset(p.tolist()))
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_one_id_with_two_texts(spark):
+    """The likeness of an id's second text counts, whichever comes first, and its first text stays out of it."""
+    x = " ".join(f"w{i}" for i in range(1000))
+    y = " ".join(f"v{i}" for i in range(1000))
+    near, other = x + " more", "nothing like it at all here"
+    for rows in itertools.permutations([(1, x), (2, y), (2, near)]):
+        got = neardup.near_duplicates(spark.createDataFrame([*rows, (None, near), (None, other), (None, other), (3, "")], "doc_id long, text string")).collect()
+        hashes = {t: h for t, h in spark.createDataFrame([(t,) for t in (x, y, near, other, "")], "text string").select("text", neardup.text_hash(F.col("text"))).collect()}
+        found = {(r.doc_id, r.text_hash): (r.component_id, r.kept, r.stays) for r in got}
+        assert found[1, hashes[x]] == (1, True, True)
+        assert found[2, hashes[y]] == (2, True, True)
+        assert found[2, hashes[near]] == found[None, hashes[near]] == (1, False, False)
+        assert found[None, hashes[other]] == (None, True, True)
+        assert found[3, hashes[""]] == (3, True, True)
+        assert len(got) == 7
+
+
+def test_near_texts_of_one_id(spark):
+    x = " ".join(f"w{i}" for i in range(200))
+    got = neardup.near_duplicates(spark.createDataFrame([(4, x), (4, x + " more"), (9, x + " else")], "doc_id long, text string")).collect()
+    assert all(r.component_id == 4 for r in got) and sorted(r.kept for r in got) == [False, True, True] and sum(r.stays for r in got) == 1
