@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalweave.llm import decontaminate, neardup, packing, quality, suffix
-from signalweave.llm.common import Scratch, broadcast_if_small, table
+from signalweave.llm.common import Scratch, broadcast_if_small, table, text_hash
 
 #: Ids up to which the documents to leave out are broadcast.
 BROADCAST_IDS = 1_000_000
@@ -21,7 +21,9 @@ PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_FAN = 51, 245, 14
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(broadcast_if_small(gone.select("doc_id"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` less those whose id and text are in ``gone`` (doc_id, text_hash); another text of the same id stays."""
+    out = broadcast_if_small(gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct(), BROADCAST_IDS)
+    return docs.join(out, docs.doc_id.eqNullSafe(out["_doc"]) & (text_hash(docs.text) == out["_text"]), "left_anti").select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +34,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates; of equal rows, one.
 
-    Rows of one id with different texts that are no near-duplicates all stay.
+    Texts of one id that are no near-duplicates all stay; of several that are, one.
     """
     scratch = Scratch(spark, "pipeline")
-    judged = scratch.save(neardup.near_duplicates(docs).where("not kept or doc_id is null").select("doc_id"), "copies")
-    kept = _without(docs, judged.where("doc_id is not null"))
+    kept = _without(docs, scratch.save(neardup.near_duplicates(docs).where("not stays").select("doc_id", "text_hash"), "copies"))
     again = scratch.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if not again.limit(1).count():
         return kept
@@ -57,7 +58,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     scratch = Scratch(spark, "pipeline")
-    return _without(docs, scratch.save(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "leaks"))
+    return _without(docs, scratch.save(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash"), "leaks"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
