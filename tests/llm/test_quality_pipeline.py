@@ -138,3 +138,14 @@ def test_pipeline_on_repeated_rows_nulls_and_empty_tables(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert {x.doc_id for x in pipeline.packed(spark, docs, DATA).collect()} == {i for i, _ in rows}
+
+
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    """A near copy goes, and so does a leak; what else has its id stays, whatever the order of arrival."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    x, y = " ".join(f"w{i}" for i in range(1000)), " ".join(f"v{i}" for i in range(1000))
+    leak = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 100").first().text
+    for rows in [[(1, x), (2, y), (2, x + " more")], [(2, x + " more"), (2, y), (1, x)]]:
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*rows, (3, leak), (3, "clean " + y)]], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted((r.doc_id, r.text[:2]) for r in pipeline.different(spark, docs, DATA).where("doc_id < 3").collect()) == [(1, "w0"), (2, "v0")]
+        assert sorted((r.doc_id, r.text[:5]) for r in pipeline.unleaked(spark, docs.where("doc_id = 3"), DATA).collect()) == [(3, "clean")]
