@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from signalweave.storage import Scratch
+
 MIN_PEERS = 5
 
 
@@ -113,3 +115,12 @@ def balanced_merge(df: DataFrame, branch: str, key: str, day: str, order: list[C
 
 def paged(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def numbered(df: DataFrame, order: list[Column], scratch: Scratch, per_task: int = 1_000_000) -> DataFrame:
+    """``df`` with ``number`` from 0 in ``order``; ranges of about ``per_task`` rows are numbered apart and shifted by those before."""
+    parts = 1 + df.count() // per_task
+    dealt = scratch.save(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "dealt")
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.expr("sum(_n) over (order by _part) - _n").alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("number", F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
