@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signalweave.operators.components import components_bounded
-from signalweave.storage import Scratch
-
 
 def star(members: DataFrame, topics: DataFrame, works: DataFrame, quality: DataFrame, vectors: DataFrame) -> DataFrame:
     """Included works of a run's topics, each with its vector where there is one.
@@ -218,64 +214,6 @@ def require_subset(current: DataFrame, pack: DataFrame, key: str) -> DataFrame:
     return current
 
 
-def _years_near(a: int | None, b: int | None) -> bool:
-    return a is not None and b is not None and abs(a - b) <= 2
-
-
-def same_publication(a: dict, b: dict) -> bool:
-    """Whether two previews are one publication: equal strong ids, else equal titles with a shared author and close years."""
-    if a["arxiv"] and b["arxiv"]:
-        return bool(a["arxiv"] & b["arxiv"])
-    apart = bool(a["authors"] and b["authors"] and not a["authors"] & b["authors"])
-    together = bool(a["authors"] & b["authors"])
-    if a["doi"] and b["doi"]:
-        if a["doi"] == b["doi"]:
-            return not (a["title"] != b["title"] and apart)
-        if not a["doi"].startswith("10.48550/arxiv.") and not b["doi"].startswith("10.48550/arxiv."):
-            return False
-    if a["key"] and a["key"] == b["key"] and not a["key"].startswith("title:"):
-        return True
-    return bool(a["title"]) and a["title"] == b["title"] and together and _years_near(a["year"], b["year"])
-
-
-def preview_fold(items: DataFrame) -> DataFrame:
-    """Publications of several sources folded in their order: the first that is the same absorbs a later one.
-
-    ``items``: place, key, title, doi, arxiv (array), authors (array), year. The
-    rule is not transitive and order counts, so items that share an id, key or
-    title are brought together as components, and each component is folded by
-    itself. An absorbing item takes the earliest year, all ids and authors.
-    Returns (place, into): ``into`` is the place of the absorbing item.
-    """
-    scratch = Scratch(items.sparkSession, "preview")
-    marks = F.array_compact(F.array(F.concat(F.lit("d"), F.lower("doi")), F.when(F.col("key") != "", F.concat(F.lit("k"), "key")), F.when(F.col("title") != "", F.concat(F.lit("t"), "title"))))
-    every = items.select("place", F.explode(F.concat(marks, F.transform(F.coalesce("arxiv", F.array().cast("array<string>")), lambda x: F.concat(F.lit("a"), x)))).alias("mark"))
-    firsts = every.groupBy("mark").agg(F.min("place").alias("dst"))
-    parts = components_bounded(every.join(firsts, "mark").select(F.col("place").alias("src"), "dst"), scratch, "blocks").withColumnRenamed("node", "place")
-    blocked = items.join(parts, "place", "left").withColumn("component", F.coalesce("component", "place"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        out = []
-        for r in rows.sort_values("place").to_dict("records"):
-            one = {"place": r["place"], "key": r["key"] or "", "title": r["title"] or "", "doi": (r["doi"] or "").lower(), "arxiv": set(r["arxiv"] if r["arxiv"] is not None else []), "authors": set(r["authors"] if r["authors"] is not None else []), "year": None if pd.isna(r["year"]) else int(r["year"])}
-            into = next((k for k in kept if same_publication(k, one)), None)
-            if into is None:
-                kept.append(one)
-                into = one
-            else:
-                into["key"] = into["key"] if into["doi"] else one["key"]
-                into["doi"] = into["doi"] or one["doi"]
-                into["title"] = into["title"] if len(into["title"]) >= len(one["title"]) else one["title"]
-                into["arxiv"] |= one["arxiv"]
-                into["authors"] |= one["authors"]
-                into["year"] = min((y for y in (into["year"], one["year"]) if y is not None), default=None)
-            out.append((r["place"], into["place"]))
-        return pd.DataFrame(out, columns=["place", "into"])
-
-    return blocked.groupBy("component").applyInPandas(fold, "place long, into long")
-
-
 def calibrated_coherence(rows: DataFrame, by: list[str], value: str, target: Column, holdout: Column, least: int = 4, margin: float = 0.01) -> DataFrame:
     """A cut between classes only where development rows are parted by it with a margin; else why not.
 

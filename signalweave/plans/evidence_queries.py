@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalweave.functions.vectors import unit
-from signalweave.operators import evidence, ranking
+from signalweave.operators import evidence, previews, ranking
 from signalweave.plans.registry import query
 from signalweave.storage import table
 
@@ -358,5 +358,9 @@ def constrained_topk(spark, folder):
 def preview_fold(spark, folder):
     """Previews folded in their order; tested against a plain loop."""
     d = table(spark, folder, "documents")
-    items = d.select(F.col("doc_id").alias("place"), F.concat(F.lit("title:"), F.col("doc_id") % 300).alias("key"), F.lower(F.substring("text", 1, 24)).alias("title"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("10.1000/"), F.col("doc_id") % 120)).alias("doi"), F.when(F.col("doc_id") % 7 == 0, F.array(F.concat(F.lit("a"), F.col("doc_id") % 90))).alias("arxiv"), F.array(F.concat("source", F.col("doc_id") % 4)).alias("authors"), (F.lit(2000) + F.col("doc_id") % 6).cast("long").alias("year"))
-    return evidence.preview_fold(items)
+    n = lambda k: (F.col("doc_id") % k).cast("string")
+    items = d.select(
+        F.col("doc_id").alias("place"), F.concat(F.lit("title:"), n(300)).alias("key"), F.concat_ws(" ", F.md5("text"), "lang").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("10.1000/"), n(120))).alias("doi"),
+        F.when(F.col("doc_id") % 7 == 0, F.array(F.concat(F.lit("a"), n(90)))).alias("arxiv"), F.array(F.concat("source", n(4))).alias("authors"), (F.lit(2000) + F.col("doc_id") % 6).cast("long").alias("year"),
+    )
+    return previews.folded_previews(items)

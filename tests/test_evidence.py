@@ -6,47 +6,42 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from signalweave.operators import blocks, evidence, vectors
+from signalweave.operators import blocks, evidence, previews, vectors
 from signalweave.operators.components import components
 from signalweave.storage import Scratch, hot_join
 
 ITEM = "place long, key string, title string, doi string, arxiv array<string>, authors array<string>, year long"
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_preview_fold_like_a_loop(spark, seed):
+def one_work(a, b):
+    """The rule of previews in plain words, for pairs (key, title, doi, arxiv, authors, year)."""
+    if a[3] and b[3]:
+        return bool(a[3] & b[3])
+    strangers = a[4] and b[4] and not a[4] & b[4]
+    if a[2] and a[2] == b[2]:
+        return a[1] == b[1] or not strangers
+    if all(d and not d.startswith("10.48550/arxiv.") for d in (a[2], b[2])):
+        return False
+    if a[0] and a[0] == b[0] and not a[0].startswith("title:"):
+        return True
+    return bool(a[1] and a[1] == b[1] and a[4] & b[4] and None not in (a[5], b[5]) and abs(a[5] - b[5]) <= 2)
+
+
+@pytest.mark.parametrize(("seed", "n", "together"), [(1, 80, 1000), (2, 80, 1000), (3, 80, 1000), (4, 12, 2)])
+def test_previews_like_a_loop(spark, seed, n, together):
     r = random.Random(seed)
     some = lambda xs, p: r.choice(xs) if r.random() < p else None
-    rows = []
-    for k in range(80):
-        rows.append((k, some(["title:a", "k1", "k2"], 0.5), some(["deep nets", "solar", "solar cells", ""], 0.8), some(["10.1/A", "10.1/a", "10.2/b", "10.48550/arXiv.1"], 0.4), some([["x1"], ["x2"], ["x1", "x3"]], 0.3), some([["p"], ["q"], ["p", "s"]], 0.8), some([2000, 2001, 2004, 2009], 0.9)))
-    kept, want = [], {}
+    rows = [(k, some(["title:a", "k1", "k2"], 0.5), some(["deep nets", "solar", "solar cells", ""], 0.8), some(["10.1/A", "10.1/a", "10.2/b", "10.48550/arXiv.1"], 0.4), some([["x1"], ["x2"], ["x1", "x3"]], 0.3), some([["p"], ["q"], ["p", "s"]], 0.8), some([2000, 2001, 2004, 2009], 0.9)) for k in range(n)]
+    works, want = {}, {}
     for place, key, title, doi, arxiv, authors, year in rows:
-        one = {"place": place, "key": key or "", "title": title or "", "doi": (doi or "").lower(), "arxiv": set(arxiv or []), "authors": set(authors or []), "year": year}
-        into = next((x for x in kept if evidence.same_publication(x, one)), None)
-        want[place] = place if into is None else into["place"]
-        if into is None:
-            kept.append(one)
-            continue
-        into["key"] = into["key"] if into["doi"] else one["key"]
-        into["doi"] = into["doi"] or one["doi"]
-        into["title"] = into["title"] if len(into["title"]) >= len(one["title"]) else one["title"]
-        into["arxiv"] |= one["arxiv"]
-        into["authors"] |= one["authors"]
-        into["year"] = min((y for y in (into["year"], one["year"]) if y is not None), default=None)
-    got = evidence.preview_fold(spark.createDataFrame(rows, ITEM).repartition(5))
+        row = (key or "", title or "", (doi or "").lower(), set(arxiv or []), set(authors or []), year)
+        into = next((p for p in sorted(works) if one_work(works[p], row)), place)
+        want[place] = into
+        p = works.get(into)
+        works[into] = row if p is None else (p[0] if p[2] else row[0], max(p[1], row[1], key=len), p[2] or row[2], p[3] | row[3], p[4] | row[4], min((y for y in (p[5], row[5]) if y is not None), default=None))
+    got = previews.folded_previews(spark.createDataFrame(rows, ITEM).repartition(5), together)
     assert {x.place: x.into for x in got.collect()} == want
-    assert evidence.preview_fold(spark.createDataFrame([], ITEM)).count() == 0
-
-
-def test_same_publication_rules():
-    base = {"key": "", "title": "t", "doi": "", "arxiv": set(), "authors": {"a"}, "year": 2000}
-    same = lambda x, y: evidence.same_publication(base | x, base | y)
-    assert same({}, {"year": 2002}) and not same({}, {"year": 2003}) and not same({}, {"year": None}) and not same({}, {"authors": {"b"}})
-    assert same({"arxiv": {"1"}}, {"arxiv": {"1", "2"}, "title": "u"}) and not same({"arxiv": {"1"}}, {"arxiv": {"2"}})
-    assert same({"doi": "10.1/a"}, {"doi": "10.1/a", "title": "u"}) and not same({"doi": "10.1/a"}, {"doi": "10.1/a", "title": "u", "authors": {"b"}})
-    assert not same({"doi": "10.1/a"}, {"doi": "10.1/b"}) and same({"doi": "10.48550/arxiv.1"}, {"doi": "10.1/b"})
-    assert same({"key": "k", "title": "x"}, {"key": "k"}) and not same({"key": "title:k", "title": "x"}, {"key": "title:k"})
+    assert previews.folded_previews(spark.createDataFrame([], ITEM)).count() == 0
 
 
 def test_profile_refuses_gaps_and_partial_years(spark):
