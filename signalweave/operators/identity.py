@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalweave.operators.components import components
-from signalweave.storage import Scratch
+from signalweave.storage import Scratch, hot_join
 
 
 def effective_date(day: Column, precision: Column, imprecise: Column) -> Column:
@@ -85,7 +85,9 @@ def teams(works: DataFrame, work: str, authors: str, organisations: str, jaccard
     """
     scratch = Scratch(works.sparkSession, "teams")
     t = works.withColumn("node", F.concat_ws(":", F.col("topic").cast("string"), F.col(work).cast("string")))
-    org = t.select("topic", "node", F.explode(organisations).alias("o")).groupBy("topic", "o").agg(F.min("node").alias("dst"), F.collect_set("node").alias("src")).select(F.explode("src").alias("src"), "dst")
+    shared = scratch.save(t.select("topic", "node", F.explode(organisations).alias("o")), "shared")
+    least = scratch.save(shared.groupBy("topic", "o").agg(F.min("node").alias("dst"), F.count("*").alias("n")), "least")
+    org = hot_join(shared, least, ["topic", "o"], "n").select(F.col("node").alias("src"), "dst")
     name = t.select("topic", "node", F.size(F.array_distinct(authors)).alias("n"), F.explode(F.array_distinct(authors)).alias("a"))
     a, b = name.alias("a"), name.alias("b")
     pairs = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.a") == F.col("b.a")) & (F.col("a.node") < F.col("b.node"))).groupBy(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("both"))
@@ -133,7 +135,9 @@ def material_groups(items: DataFrame, links: DataFrame, conflict: str) -> DataFr
     ``items``: item, keys (array) and the column ``conflict``; ``links``: src, dst items.
     """
     scratch = Scratch(items.sparkSession, "materials")
-    keyed = items.select(F.col("item"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("item").alias("dst"), F.collect_set("item").alias("src")).select(F.explode("src").alias("src"), "dst")
+    each = scratch.save(items.select("item", F.explode("keys").alias("key")).where("key is not null"), "each")
+    least = scratch.save(each.groupBy("key").agg(F.min("item").alias("dst"), F.count("*").alias("n")), "least")
+    keyed = hot_join(each, least, ["key"], "n").select(F.col("item").alias("src"), "dst")
     own = items.select(F.col("item").alias("src"), F.col("item").alias("dst"))
     parts = components(keyed.unionByName(links.select("src", "dst")).unionByName(own), scratch).withColumnRenamed("node", "item")
     bad = items.join(parts, "item").groupBy("component").agg((F.count_distinct(conflict) <= 1).alias("accepted"))

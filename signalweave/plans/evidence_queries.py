@@ -281,12 +281,12 @@ def family_collapse(spark, folder):
     return evidence.family_collapse(v, families).select("work", F.round(F.col("vector")[0], 6).alias("first"))
 
 
-@query("""WITH r AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part), n(needle, w) AS (SELECT p_name, list_distinct(string_split(lower(p_name), ' ')) FROM (SELECT DISTINCT p_name FROM part ORDER BY p_name LIMIT 40))
+@query("""WITH r AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part), n(needle, w) AS (SELECT p_name, list_distinct(string_split(lower(p_name), ' ')) FROM (SELECT DISTINCT p_name FROM part))
 SELECT p_partkey, string_agg(needle, '|' ORDER BY needle) AS matched FROM r JOIN n ON list_has_all(t, w) WHERE NOT list_has_all(t, ['small', 'brass']) GROUP BY p_partkey""")
 def token_subset(spark, folder):
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
     p = table(spark, folder, "part")
-    needles = p.select(F.col("p_name").alias("needle")).distinct().orderBy("needle").limit(40).withColumn("words", words(F.col("needle")))
+    needles = p.select(F.col("p_name").alias("needle")).distinct().withColumn("words", words(F.col("needle")))
     t = evidence.token_subset(p.select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")).alias("t")), needles, [["small", "brass"]], "t")
     return t.select("p_partkey", F.array_join("matched", "|").alias("matched"))
 

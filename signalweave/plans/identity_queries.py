@@ -66,11 +66,17 @@ def recursive_chain(spark, folder):
     SELECT CAST(id AS BIGINT) AS id, CAST(root AS BIGINT) AS root, CAST(depth AS BIGINT) AS depth FROM c""")
 
 
-@query("""WITH i AS (SELECT doc_id AS item, [source || (doc_id % 40)] AS keys, lang FROM documents), e AS (SELECT item, unnest(keys) AS k, lang FROM i), g AS (SELECT k, min(item) AS component, count(DISTINCT lang) <= 1 AS accepted FROM e GROUP BY k)
-SELECT item, component, accepted FROM e JOIN g USING (k)""")
+@query("""WITH RECURSIVE i AS (SELECT doc_id AS item, source || (doc_id % 40) AS k, lang FROM documents),
+l AS (SELECT a.item AS a, b.item AS b FROM i a JOIN i b ON a.k = b.k UNION SELECT doc_id, doc_id + 200 FROM documents WHERE doc_id % 7 = 0 AND doc_id + 200 IN (SELECT doc_id FROM documents)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(item, other) AS (SELECT item, item FROM i UNION SELECT r.item, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT item, min(other) AS component FROM r GROUP BY item), g AS (SELECT component, count(DISTINCT lang) <= 1 AS accepted FROM c JOIN i USING (item) GROUP BY component)
+SELECT item, component, accepted FROM c JOIN g USING (component)""")
 def material_groups(spark, folder):
-    items = table(spark, folder, "documents").select(F.col("doc_id").alias("item"), F.array(F.concat("source", F.col("doc_id") % 40)).alias("keys"), "lang")
-    return identity.material_groups(items, items.limit(0).select(F.col("item").alias("src"), F.col("item").alias("dst")), "lang")
+    """Documents by shared keys and by declared relations; a component of several languages is rejected whole."""
+    d = table(spark, folder, "documents")
+    items = d.select(F.col("doc_id").alias("item"), F.array(F.concat("source", F.col("doc_id") % 40)).alias("keys"), "lang")
+    links = d.where("doc_id % 7 = 0").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 200).alias("dst")).join(d.select(F.col("doc_id").alias("dst")), "dst", "left_semi")
+    return identity.material_groups(items, links, "lang")
 
 
 @query("""WITH p AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS w FROM orders GROUP BY o_custkey) SELECT sha256('[' || array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') || ']') AS composition, o_custkey, count(*) AS works FROM orders GROUP BY o_custkey""")
@@ -88,11 +94,14 @@ def cross_source_links(spark, folder):
     return identity.cross_links(c.where("id % 2 = 0"), c.where("id % 2 = 1")).select("a", "b", "status")
 
 
-@query(None)
+@query("""WITH RECURSIVE w AS (SELECT l_partkey AS topic, l_orderkey * 10 + l_linenumber AS work, l_suppkey AS org, l_orderkey AS author FROM lineitem),
+e AS (SELECT a.topic, a.work AS a, b.work AS b FROM w a JOIN w b ON a.topic = b.topic AND (a.org = b.org OR a.author = b.author)),
+r(topic, work, other) AS (SELECT topic, work, work FROM w UNION SELECT r.topic, r.work, e.b FROM r JOIN e ON e.topic = r.topic AND e.a = r.other)
+SELECT topic::VARCHAR AS topic, count(DISTINCT c) AS teams FROM (SELECT topic, work, min(other) AS c FROM r GROUP BY topic, work) GROUP BY topic""")
 def team_proxy(spark, folder):
-    """Independent teams per topic from shared suppliers; tested on a fixture."""
-    per = table(spark, folder, "lineitem").where("l_quantity >= 48").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("orgs"), F.collect_set("l_partkey").alias("people"), F.min("l_returnflag").alias("topic"))
-    return identity.teams(per.withColumn("orgs", F.slice("orgs", 1, 1)), "l_orderkey", "people", "orgs")
+    """Independent teams per part: lines that share a supplier, or the order, are one team's."""
+    t = table(spark, folder, "lineitem").select(F.col("l_partkey").cast("string").alias("topic"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("work"), F.array("l_suppkey").alias("orgs"), F.array("l_orderkey").alias("people"))
+    return identity.teams(t, "work", "people", "orgs")
 
 
 @query("""WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_custkey % 60 AS g, CAST(o_orderdate AS DATE) AS d, row_number() OVER (PARTITION BY o_custkey % 60 ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS n FROM orders WHERE o_orderpriority = '1-URGENT'),

@@ -172,7 +172,7 @@ def cached_search(spark, folder):
     scratch, docs = Scratch(spark, "cached"), table(spark, folder, "documents")
     retrieval.thematic_cache(docs, ["license"], ["text"], f"{scratch.path}/cache")
     plan = retrieval.Plan(("the license", "MIT license"), fields=("text",))
-    return retrieval.cached_or_full(docs.limit(0), spark.read.parquet(f"{scratch.path}/cache"), ["license"], plan).select("doc_id")
+    return retrieval.cached_or_full(docs, spark.read.parquet(f"{scratch.path}/cache"), ["license"], plan).select("doc_id")
 
 
 @query(f"""WITH h AS (SELECT 'lic' AS branch, doc_id, {DAY} AS day FROM documents WHERE {HAS('license')} UNION ALL SELECT 'der', doc_id, {DAY} FROM documents WHERE {HAS('der')}), r AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY day DESC, doc_id DESC) AS turn FROM h) SELECT branch, doc_id, turn FROM r WHERE turn <= 20""")
