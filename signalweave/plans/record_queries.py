@@ -226,12 +226,18 @@ def source_text_views(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.source_view(F.concat(F.lit("a "), "source", F.lit(" \\n b"))).alias("view"))
 
 
-@query("""SELECT TRUE AS admissible, '("deep nets" OR "solar") OR (("a" OR "b") AND ("c")) NOT ("toy")' AS expression, TRUE AS implied, FALSE AS not_implied, FALSE AS indexable""")
+@query(r"""WITH p AS (SELECT p_partkey AS plan, p_partkey % 11 = 0 AS blank, p_partkey % 3 = 0 AS grouped, p_partkey % 4 = 0 AS excluding, p_name, lower(p_type) AS kind, p_brand, CASE WHEN p_partkey % 5 = 0 THEN 'widget' ELSE split_part(p_name, ' ', 1) END AS anchor FROM part),
+h AS (SELECT *, regexp_matches(' ' || p_name || ' ', '[^\w]' || anchor || '[^\w]') AS name_holds, regexp_matches(' ' || kind || ' ', '[^\w]' || anchor || '[^\w]') AS kind_holds FROM p)
+SELECT plan, NOT blank AS admissible, CASE WHEN NOT blank THEN NOT grouped AND regexp_full_match(p_name, '[a-z0-9][a-z0-9 \-]{1,}[a-z0-9]') END AS indexable,
+  CASE WHEN NOT blank THEN '("' || p_name || '")' || CASE WHEN grouped THEN ' OR (("' || kind || '" OR "' || p_name || ' ' || kind || '") AND ("' || p_brand || '"))' ELSE '' END || CASE WHEN excluding THEN ' NOT ("' || kind || ' toy")' ELSE '' END END AS expression,
+  CASE WHEN NOT blank THEN name_holds AND (NOT grouped OR (kind_holds AND name_holds)) END AS implied FROM h""")
 def plan_compilation(spark, folder):
-    plan = retrieval.Plan(("deep nets", "solar"), (("a", "b"), ("c",)), ("toy",))
-    narrow = retrieval.Plan(("thin solar cells", "solar"))
-    row = (True, plan.expression(), narrow.implied_by(["solar"]), plan.implied_by(["wind"]), plan.indexable())
-    return spark.createDataFrame([row], "admissible boolean, expression string, implied boolean, not_implied boolean, indexable boolean")
+    """A search plan for each part, some of them blank, grouped or excluding: may it run, what does it say, does an anchor's cache cover it?"""
+    p, n, kind = table(spark, folder, "part"), F.col("p_partkey"), F.lower("p_type")
+    groups = F.when(n % 3 == 0, F.array(F.array(kind, F.concat_ws(" ", "p_name", kind)), F.array("p_brand")))
+    include = F.array(F.when(n % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(""), "p_name")))
+    plans = p.select(n.alias("plan"), include.alias("include"), groups.alias("groups"), F.when(n % 4 == 0, F.array(F.concat(kind, F.lit(' "toy')))).alias("exclude"), F.array(F.when(n % 5 == 0, "widget").otherwise(F.split("p_name", " ")[0])).alias("anchors"))
+    return retrieval.compiled(plans)
 
 
 @query("""SELECT p_partkey, regexp_matches(lower(p_type), '(^| )standard( +[a-z0-9]+){0,1} +(tin|brass)( |$)') AS gap, regexp_matches(lower(p_type), '(^| )standard +(tin|brass)( |$)') AS exact FROM part""")

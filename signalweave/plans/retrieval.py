@@ -75,6 +75,31 @@ class Plan:
         return all(map(inside, self.include)) and (not self.groups or any(all(map(inside, g)) for g in self.groups))
 
 
+def compiled(plans: DataFrame) -> DataFrame:
+    """A table of plans compiled row by row: plan, admissible, indexable, expression, implied.
+
+    ``plans``: plan, include, groups (array of arrays), exclude, anchors; nulls count as
+    empty. What ``Plan`` says of one plan is said here of all, as columns; a plan
+    that ``Plan`` would refuse is not admissible and has nulls otherwise.
+    """
+    some = lambda c, kind="array<string>": F.coalesce(F.col(c), F.array().cast(kind))
+    t = plans.select("plan", some("include").alias("include"), some("groups", "array<array<string>>").alias("groups"), some("exclude").alias("exclude"), some("anchors").alias("anchors"))
+    blank = lambda ps: F.exists(ps, lambda p: F.coalesce(F.trim(p), F.lit("")) == "")
+    quoted = lambda ps: F.array_join(F.transform(ps, lambda p: F.concat(F.lit('"'), F.trim(F.regexp_replace(p, r'[\\"]', "")), F.lit('"'))), " OR ")
+    any_of = lambda ps: F.concat(F.lit("("), quoted(ps), F.lit(")"))
+    every = F.concat(F.lit("("), F.array_join(F.transform("groups", any_of), " AND "), F.lit(")"))
+    literals, grouped = F.when(F.size("include") > 0, any_of(F.col("include"))), F.when(F.size("groups") > 0, every)
+    text_of = F.concat(F.concat_ws(" OR ", literals, grouped), F.when(F.size("exclude") > 0, F.concat(F.lit(" NOT "), any_of(F.col("exclude")))).otherwise(""))
+    held = (F.size("include") + F.size("groups") > 0) & (F.size("include") <= MOST_PHRASES) & (F.size("groups") <= MOST_GROUPS) & (F.size("exclude") <= MOST_EXCLUDED)
+    right = F.forall("groups", lambda g: F.size(g).between(1, MOST_GROUP_PHRASES) & ~blank(g))
+    admissible = held & right & ~blank(F.col("include")) & ~blank(F.col("exclude")) & (F.octet_length(text_of) <= MOST_BYTES)
+    within = lambda p: F.exists("anchors", lambda a: F.rlike(F.lower(p), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower(a), F.lit(r"\E(?!\w)"))))
+    implied = F.forall("include", within) & ((F.size("groups") == 0) | F.exists("groups", lambda g: F.forall(g, within)))
+    indexable = (F.size("groups") == 0) & F.forall("include", lambda p: F.rlike(F.lower(p), F.lit(r"^[a-z0-9][a-z0-9 \-]{1,}[a-z0-9]$")))
+    t = t.withColumn("admissible", F.coalesce(admissible, F.lit(False)))
+    return t.select("plan", "admissible", *(F.when(F.col("admissible"), c).alias(n) for n, c in (("indexable", indexable), ("expression", text_of), ("implied", implied))))
+
+
 def select(df: DataFrame, plan: Plan) -> DataFrame:
     """Rows that match; the coarse test runs first and spares most patterns."""
     return df.where(plan.coarse()).where(plan.column())

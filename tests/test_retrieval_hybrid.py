@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalweave.operators import hybrid
+from signalweave.plans import retrieval
 from signalweave.plans.retrieval import Plan, branches, build_index, cached_or_full, search, select, thematic_cache
 
 ROWS = [(1, "Graph neural networks", "survey of nets"), (2, "graph-neural  networks", "x"), (3, "Paragraph neural networks", None), (4, "Robots", "soft robot arms and graph neural networks"), (5, "graph", "neural networks"), (6, None, None)]
@@ -64,3 +65,20 @@ def test_compositions(spark):
     assert [(x.x, x.y, x.missing) for x in p] == [(None, None, ["slope_unknown"]), (0.2, 0.3, ["coverage_not_comparable"])]
     t = hybrid.transitions(spark.createDataFrame([(1, "in"), (2, "out")], "k int, d string"), spark.createDataFrame([(1, "out"), (3, "in")], "k int, d string"), "k", "d")
     assert {(x.before, x.after, x.was_there, x.is_there, x.n) for x in t.collect()} == {("in", "out", True, True, 1), ("out", None, True, False, 1), (None, "in", False, True, 1)}
+
+
+def test_compiled_plans_say_what_a_plan_says(spark):
+    """The table form against the class, plan by plan."""
+    many = [f"p{i}" for i in range(retrieval.MOST_PHRASES + 1)]
+    rows = [
+        (1, ["deep nets", "solar"], [["a", "b"], ["c"]], ["toy"], ["solar"]), (2, ["thin solar cells", "solar"], None, None, ["solar"]), (3, ["deep-nets"], [], [], ["nets", "x"]), (4, ["x (y)"], None, None, ["(y)"]),
+        (5, None, None, ["x"], ["x"]), (6, [" "], None, None, []), (7, many, None, None, []), (8, ["a"], [["b", "c", "d", "e"]], None, []), (9, ["a"], [[]], None, []), (10, ["y" * 2100], None, None, []), (11, None, [["solar cell"], ["wind"]], None, ["solar"]), (12, ['say "so" \\ it'], None, None, ["so"]), (13, ["solarium"], None, None, ["solar"]),
+    ]
+    got = {r.plan: r for r in retrieval.compiled(spark.createDataFrame(rows, "plan int, include array<string>, groups array<array<string>>, exclude array<string>, anchors array<string>")).collect()}
+    for k, include, groups, exclude, anchors in rows:
+        try:
+            plan = retrieval.Plan(tuple(include or ()), tuple(map(tuple, groups or ())), tuple(exclude or ()))
+            want = (True, plan.indexable(), plan.expression(), plan.implied_by(anchors))
+        except ValueError:
+            want = (False, None, None, None)
+        assert tuple(got[k])[1:] == want, k
