@@ -129,6 +129,22 @@ def version_families(works: DataFrame, ratio: float = 0.97, days: int = 730) ->
     return components(edges.unionByName(own), scratch).select(F.col("node").alias("work"), F.col("component").alias("family"))
 
 
+def lineage_families(topics: DataFrame, edges: DataFrame) -> DataFrame:
+    """(topic, family): saved topics that lineage joins, directly or over others, named by the smallest; nothing is claimed of their subject.
+
+    ``topics``: topic; ``edges``: left, right. An edge that leaves the frozen set
+    raises. Nulls are no topics and no ends.
+    """
+    scratch = Scratch(topics.sparkSession, "lineage")
+    frozen = scratch.save(topics.where("topic is not null").select("topic").distinct(), "frozen")
+    ends = scratch.save(edges.where("left is not null and right is not null").select("left", "right").distinct(), "ends")
+    named = ends.select(F.explode(F.array("left", "right")).alias("topic")).distinct()
+    if outside := named.join(frozen, "topic", "left_anti").count():
+        raise ValueError(f"lineage names {outside} topics outside the frozen set")
+    own = frozen.select(F.col("topic").alias("src"), F.col("topic").alias("dst"))
+    return components(ends.select(F.col("left").alias("src"), F.col("right").alias("dst")).unionByName(own), scratch).select(F.col("node").alias("topic"), F.col("component").alias("family"))
+
+
 def material_groups(items: DataFrame, links: DataFrame, conflict: str) -> DataFrame:
     """(item, component, accepted): components over keys and declared relations; any conflicting value rejects a whole component.
 

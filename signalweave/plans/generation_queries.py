@@ -66,3 +66,14 @@ def prepared_cohort(spark, folder):
     prepared.prepare(store, works, "documents")
     got = prepared.prepared_search(store, BRANCHES, "2018-03-01", "2022-07-01", 60)
     return got.select("branch", F.col("place").cast("long").alias("place"), "work", F.col("day").cast("string").alias("day"), F.col("family_earliest").cast("string").alias("family_earliest"), "variants", F.col("turn").cast("long").alias("turn"), "matches")
+
+
+@query("""WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-12)) AS n FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS near, round(list_inner_product(a.n, b.n), 12) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near) AS rank FROM p)
+SELECT vec_id, near, rank, round(s, 6) AS similarity FROM r WHERE rank <= 3""")
+def vector_index(spark, folder):
+    """Every vector's three candidate links, from the index that was published with the vectors."""
+    store = generations.Generations(spark, f"{Scratch(spark, 'index').path}/vectors")
+    generations.publish_vector_index(store, table(spark, folder, "embeddings"), "vec_id", "embedding", "catalogue")
+    t = store.read("links", verify=True)
+    return t.select("vec_id", "near", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))

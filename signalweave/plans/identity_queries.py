@@ -122,3 +122,14 @@ def quota_sample(spark, folder):
 
     o = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("channel"), F.col("o_orderpriority").alias("stage"))
     return topics.quota_sample(o, "channel", "stage", F.struct(ranking.hash_order("quota", "o_orderkey"), "o_orderkey"), 50)
+
+
+@query("""WITH RECURSIVE t AS (SELECT c_custkey AS k FROM customer), l AS (SELECT k AS a, k + 50 AS b FROM t WHERE k % 3 = 0 AND k + 50 IN (SELECT k FROM t) UNION SELECT k, k // 2 FROM t WHERE k % 10 = 0),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(k, other) AS (SELECT k, k FROM t UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.other)
+SELECT k AS topic, min(other) AS family FROM r GROUP BY k""")
+def lineage_families(spark, folder):
+    """Customers as saved topics, joined by two kinds of lineage."""
+    t = table(spark, folder, "customer").select(F.col("c_custkey").alias("topic"))
+    onward = t.where("topic % 3 = 0").select(F.col("topic").alias("left"), (F.col("topic") + 50).alias("right")).join(t.select(F.col("topic").alias("right")), "right", "left_semi")
+    back = t.where("topic % 10 = 0").select(F.col("topic").alias("left"), F.floor(F.col("topic") / 2).alias("right"))
+    return identity.lineage_families(t, onward.unionByName(back))

@@ -136,3 +136,20 @@ def seal(chunks: DataFrame) -> str:
         level = level.groupBy(F.floor(F.col("at") / 1000).alias("up")).agg(F.sha2(joined.cast("binary"), 256).alias("sha256")).select(F.col("up").alias("at"), "sha256")
     got = level.first()
     return got.sha256 if got else hashlib.sha256(b"").hexdigest()
+
+
+def publish_vector_index(store: Generations, rows: DataFrame, key: str, vector: str, run: str, links: int = 3) -> str:
+    """Publish a catalogue's vectors, of length one, with each one's ``links`` nearest others as candidate links; both or neither appear.
+
+    Links are candidates for review: (key, near, similarity, rank). Rows without
+    a usable vector are left out of both tables.
+    """
+    from signalweave.functions.vectors import norm, unit
+    from signalweave.operators import vectors
+
+    v = F.col(vector).cast("array<double>")
+    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), v.alias("vector")).where(norm(F.col("vector")) > 0)
+    held = Scratch(rows.sparkSession, "index").save(held.select(key, unit(F.col("vector")).alias("vector")), "vectors")
+    near = vectors.nearest(held, key, "vector", held, key, "vector", links, exclude_self=True)
+    table = near.toDF(*("near" if c not in (key, "similarity", "rank") else c for c in near.columns))
+    return store.publish({"vectors": held, "links": table}, run)

@@ -145,3 +145,12 @@ def test_status_and_admission(spark):
     items = spark.createDataFrame([(r[0], "market", *r[1:]) for r in rows], "item int, axis string, title string, url string, day date, fresh boolean, repeated boolean")
     got = {r.item: r.reason for r in admitted(items, F.array(F.lit("soft"), F.lit("robot")), "2025-01-01").collect()}
     assert got == {1: None, 2: "story_told_before", 3: "no_date", 4: "date_ahead", 5: "too_few_topic_words", 6: "no_safe_link", 7: "stale_answer", 8: "repeated_by_source"}
+
+
+def test_lineage_stays_inside_the_frozen_set(spark):
+    topics = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 9)] + [(None,)], "topic long")
+    edges = spark.createDataFrame([(2, 5), (5, 1), (5, 1), (None, 3)], "left long, right long")
+    assert {r.topic: r.family for r in identity.lineage_families(topics, edges).collect()} == {1: 1, 2: 1, 5: 1, 3: 3, 9: 9}
+    with pytest.raises(ValueError, match="1 topics"):
+        identity.lineage_families(topics, spark.createDataFrame([(1, 7)], "left long, right long"))
+    assert identity.lineage_families(topics.limit(0), edges.limit(0)).count() == 0
