@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .audit import _slices
+from .common import table
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -94,7 +95,8 @@ def token_counts(docs: DataFrame, vocabulary: str, marker: bytes = b" ") -> Data
     ``vocabulary`` is the path of a byte-level tokenizer file; pieces that begin
     with ``marker`` begin words, all others go on. Words are runs of bytes other
     than ASCII white space. A word without pieces counts as one unknown token.
-    Null and empty texts count 0. Map-only; equal words are matched once a worker.
+    Null and empty texts count 0. Map-only; texts are read in slices, equal words
+    are matched once a worker.
     """
     made: list[LongestMatch] = []
 
@@ -106,21 +108,26 @@ def token_counts(docs: DataFrame, vocabulary: str, marker: bytes = b" ") -> Data
         for batch in batches:
             rows = []
             for value in batch.column(1):
-                counts = []
-                for word in text_bytes(value.as_py()).split():
-                    if (n := known.get(word)) is None:
-                        n = made[0].count(word)
-                        if len(word) <= 64:
-                            if len(known) >= MEMORY_WORDS:
-                                known.clear()
-                            known[word] = n
-                    counts.append(n)
-                unknown = counts.count(-1)
-                rows.append((len(counts), sum(counts) + 2 * unknown, unknown, max(map(abs, counts), default=0)))
+                words = tokens = unknown = longest = 0
+                # Slices end between words, so that no list of a whole text's words is made.
+                for part in _slices(value.as_buffer()) if value.is_valid else ():
+                    counts = []
+                    for word in part.split():
+                        if (n := known.get(word)) is None:
+                            n = made[0].count(word)
+                            if len(word) <= 64:
+                                if len(known) >= MEMORY_WORDS:
+                                    known.clear()
+                                known[word] = n
+                        counts.append(n)
+                    missed = counts.count(-1)
+                    words, tokens, unknown = words + len(counts), tokens + sum(counts) + 2 * missed, unknown + missed
+                    longest = max(longest, max(map(abs, counts), default=0))
+                rows.append((words, tokens, unknown, longest))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_words", "n_tokens", "n_unknown", "max_word_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, "doc_id long, n_words long, n_tokens long, n_unknown long, max_word_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(read, "doc_id long, n_words long, n_tokens long, n_unknown long, max_word_tokens long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

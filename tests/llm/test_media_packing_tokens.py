@@ -153,3 +153,17 @@ def test_long_runs_have_the_tokenizer_s_ids(text):
 
     path = P.path("byte_bpe_50k.json")
     assert packing.ByteTokenizer(path, added=True).encode(text) == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts_of_sliced_texts(spark):
+    from signalweave.llm import audit
+
+    rows = [(1, "one two  three\n" * 40), (2, "x" * 500 + " y"), (3, None), (4, " " * 300), (5, "é日 " * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda: sorted(map(tuple, wordpiece.token_counts(docs, P.path("byte_bpe_50k.json")).collect()))
+    whole = count()
+    assert [r[1] for r in whole] == [len((t or "").split()) for _, t in rows]
+    long = "slice of words " * 200_000
+    (_, words, tokens, _, _), = map(tuple, wordpiece.token_counts(spark.createDataFrame([(9, long)], "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect())
+    (_, few, some, _, _), = map(tuple, wordpiece.token_counts(spark.createDataFrame([(9, "slice of words")], "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect())
+    assert len(long) > 2 * audit.SLICE and (words, tokens) == (200_000 * few, 200_000 * some)
