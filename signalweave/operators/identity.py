@@ -88,7 +88,7 @@ def teams(works: DataFrame, work: str, authors: str, organisations: str, jaccard
     shared = scratch.save(t.select("topic", "node", F.explode(organisations).alias("o")), "shared")
     least = scratch.save(shared.groupBy("topic", "o").agg(F.min("node").alias("dst"), F.count("*").alias("n")), "least")
     org = hot_join(shared, least, ["topic", "o"], "n").select(F.col("node").alias("src"), "dst")
-    name = t.select("topic", "node", F.size(F.array_distinct(authors)).alias("n"), F.explode(F.array_distinct(authors)).alias("a"))
+    name = t.select("topic", "node", F.size(F.array_distinct(authors)).alias("n"), F.explode(F.array_distinct(authors)).alias("a")).distinct()
     a, b = name.alias("a"), name.alias("b")
     pairs = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.a") == F.col("b.a")) & (F.col("a.node") < F.col("b.node"))).groupBy(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("both"))
     alike = pairs.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= jaccard).select("src", "dst")

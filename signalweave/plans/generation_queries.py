@@ -30,8 +30,8 @@ def published_generation(spark, folder):
     return one.unionByName(two).unionByName(three)
 
 
-@query("""WITH l AS (SELECT doc_id || chr(9) || coalesce(md5(text), '-') || chr(10) AS line, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS at FROM documents),
-c AS (SELECT at // 100 AS chunk, count(*) AS lines, sha256(string_agg(line, '' ORDER BY at)) AS sha256 FROM l GROUP BY at // 100),
+@query("""WITH l AS (SELECT doc_id || chr(9) || coalesce(md5(text), '-') || chr(10) AS line, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents),
+c AS (SELECT pos // 100 AS chunk, count(*) AS lines, sha256(string_agg(line, '' ORDER BY pos)) AS sha256 FROM l GROUP BY pos // 100),
 u AS (SELECT chunk // 1000 AS up, sha256(string_agg(sha256, '' ORDER BY chunk)) AS h FROM c GROUP BY chunk // 1000)
 SELECT chunk, lines, sha256, CASE WHEN (SELECT count(*) FROM c) = 1 THEN sha256 WHEN (SELECT count(*) FROM u) = 1 THEN (SELECT h FROM u) ELSE (SELECT sha256(string_agg(h, '' ORDER BY up)) FROM u) END AS seal FROM c""")
 def sealed_export(spark, folder):

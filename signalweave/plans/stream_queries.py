@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from signalweave.plans.registry import query
 from signalweave.storage import Scratch, table
-from signalweave.streaming import lives
+from signalweave.streaming import lives, windows
 
 
 @query("""WITH e AS (SELECT user_id::VARCHAR AS topic, ts FROM events),
@@ -31,3 +31,18 @@ def topic_lives(spark, folder):
     t = lives.last_told(spark.read.schema(lives.LIVES).parquet(f"{scratch.path}/told"))
     when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return t.select("topic", when("started"), when("latest"), "works", F.round("popularity", 6).alias("popularity"), "alive")
+
+
+@query("""WITH e AS (SELECT *, event_id % 2 = 0 AS early, date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM events), w AS (SELECT max(ts) FILTER (early) - INTERVAL 2 DAY AS one, max(ts) - INTERVAL 2 DAY AS two FROM e)
+SELECT event_type, strftime(ends - INTERVAL 1 DAY, '%Y-%m-%d') AS day, count(*) FILTER (early OR ends > one) AS works FROM e, w WHERE ends <= two GROUP BY event_type, ends HAVING count(*) FILTER (early OR ends > one) > 0""")
+def late_rows(spark, folder):
+    """Half of the rows come after the watermark has passed most of their days: closed windows stay as they were told, once."""
+    scratch = Scratch(spark, "late")
+    e = table(spark, folder, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{scratch.path}/events")
+        counts = windows.windowed_counts(spark.readStream.schema(e.schema).parquet(f"{scratch.path}/events"), "ts", "event_type", "1 day", "2 days")
+        run = counts.writeStream.format("parquet").option("path", f"{scratch.path}/told").option("checkpointLocation", f"{scratch.path}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    t = spark.read.schema(counts.schema).parquet(f"{scratch.path}/told")
+    return t.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "works")
