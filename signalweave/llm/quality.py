@@ -91,7 +91,10 @@ class LatentSpace:
         if not n:
             return
         self.weight = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-        x = self._unit(counts * self.weight)
+        x = counts * self.weight
+        # In place and by rows: the driver holds the matrix once more, not three times.
+        for at in range(0, n, BLOCK):
+            x[at : at + BLOCK] = self._unit(x[at : at + BLOCK])
         # Right singular vectors from the Gram matrix; signs do not matter for cosines.
         values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
         top = [i for i in np.argsort(-values, kind="stable")[:dimensions] if values[i] > 1e-9 * values[-1]]
@@ -129,7 +132,7 @@ def training_terms(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
     Only ids outside the held-out fold are used. Labels that are null, or that
     contradict each other for one id, are left out. What reaches the driver is
-    bounded by the parameter: term counts, never texts.
+    bounded by the parameter: the term counts that are not zero, never texts.
     """
     clean = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality").where(~held_out(F.col("doc_id")))
     order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
@@ -142,11 +145,18 @@ def training_terms(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [terms(text_bytes(t.as_py())).astype(np.float32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "terms"])
-
-    got = chosen.mapInArrow(read, "doc_id long, quality int, terms binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
+            places, values = [], []
+            for text in batch.column(1):
+                row = terms(text_bytes(text.as_py())).astype(np.float32)
+                at = np.flatnonzero(row).astype(np.uint16)
+                places.append(at.tobytes())
+                values.append(row[at].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "quality", "places", "values"])
+
+    got = chosen.mapInArrow(read, "doc_id long, quality int, places binary, values binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    counts = np.zeros((got.num_rows, TERMS), np.float32)
+    for k, (at, value) in enumerate(zip(got["places"], got["values"], strict=True)):
+        counts[k, np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(value.as_py(), np.float32)
     return counts, np.array(got["quality"].to_pylist(), np.float64)
 
 

@@ -1,6 +1,7 @@
 """Held-out accuracy of the classifier, and the pipeline's stages."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -17,6 +18,22 @@ def test_held_out_accuracy(spark):
     assert r["all"] >= 0.97 and r["junk"] >= 0.9 and r["low"] >= 0 and r["high"] <= 1
 
 
+def test_learning_holds_little_on_the_driver(spark):
+    """Learning takes the matrix of terms and another one, not five; what is sent is the same as whole rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    tracemalloc.start()
+    try:
+        counts, labels = quality.training_terms(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * counts.nbytes and len(counts) >= 100
+        tracemalloc.reset_peak()
+        quality.LatentSpace(counts, labels)
+        assert tracemalloc.get_traced_memory()[1] < 3.2 * counts.nbytes
+    finally:
+        tracemalloc.stop()
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    assert {x.tobytes() for x in counts} <= {quality.terms(t).astype(np.float32).tobytes() for t in texts}
+
+
 def test_votes_are_those_of_the_nearest():
     r = np.random.default_rng(1)
     space = quality.LatentSpace(r.random((80, quality.TERMS)), (np.arange(80) % 3 > 0).astype(int), 20)
