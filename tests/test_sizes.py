@@ -1,11 +1,27 @@
 """Work that outgrows one task or one batch: rounds, slices and sums that give what the plain way gives."""
 
 import random
+import threading
+from contextlib import contextmanager
+from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from signalweave.operators import diagnostics
+from signalweave.operators import diagnostics, identity, phrases, topics
+
+
+@contextmanager
+def within(spark, seconds):
+    """Jobs that go on longer are cancelled, which fails the test."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
 
 
 @pytest.mark.parametrize("clusters", [3, 7])
@@ -25,3 +41,56 @@ def test_a_list_over_the_former_bound(spark):
     x = np.random.default_rng(2).normal(size=(2100, 4)).tolist()
     got = diagnostics.complete_link(spark.createDataFrame([(1, k, v) for k, v in enumerate(x)], "g int, k long, v array<double>"), "g", "k", "v", 0.9)
     assert got.select("k").distinct().count() == 2100 and got.where("`group` > k").count() == 0
+
+
+def test_spans_leave_in_slices():
+    texts = ["deep nets learn fast " * 200, None, "solar cells " * 300, "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], names=["id", "title"])
+    cut = [*phrases._span_batches(iter([batch]), "id", ["title"], 2, 3, frozenset(["a"]), 100)]
+    whole = [*phrases._span_batches(iter([batch]), "id", ["title"], 2, 3, frozenset(["a"]))]
+    assert max(b.num_rows for b in cut) <= 100 and len(cut) > 20 and len(whole) == 1
+    assert pa.Table.from_batches(cut).to_pylist() == whole[0].to_pylist()
+
+
+def test_a_hot_identifier_multiplies_nothing(spark):
+    known = spark.range(200_000).select(F.col("id").alias("work"), F.lit("doi").alias("kind"), (F.col("id") % 2).alias("value"))
+    asked = spark.range(200_000).select(F.col("id").alias("record"), F.lit("doi").alias("kind"), (F.col("id") % 3).alias("value"))
+    with within(spark, 60):
+        got = identity.identifier_lookup(asked, known, ["url", "doi"]).groupBy("work").count().collect()
+    assert {tuple(r) for r in got} == {(0, 66_667), (1, 66_667)}
+
+
+def test_a_hot_title_multiplies_nothing(spark):
+    none = F.array().cast("array<string>")
+    side = lambda c: spark.range(100_000).select(F.col("id").alias(c), F.lit("t").alias("title_key"), F.array(F.col("id") % 5, F.lit(None)).alias("authors"), F.when(F.col("id") % 2 == 0, F.array(F.concat(F.lit("d"), F.col("id") % 4))).alias("dois"), none.alias("arxiv_ids"))
+    with within(spark, 60):
+        got = {r.record: r.work for r in identity.title_author_matches(side("record").where("record >= 5"), side("work")).collect()}
+    apart = lambda a, b: a % 2 == b % 2 == 0 and a % 4 != b % 4
+    assert got == {a: next(b for b in range(40) if a % 5 == b % 5 and not apart(a, b)) for a in range(5, 100_000)}
+
+
+def test_many_rows_of_a_family(spark):
+    """A group's rows are as many as its days allow and more; also rows without a day and a group without a name."""
+    start = date(2020, 1, 1)
+    rows = [(g, k, start + timedelta(days=k * 7 % 900) if k % 10 else None) for g in (None, 1) for k in range(500)]
+    want, at = {}, {}
+    for g, k, d in sorted((r for r in rows if r[2]), key=lambda r: (r[0] or 0, r[2], r[1])):
+        if g not in at or (d - at[g][0]).days > 365:
+            at[g] = (d, k)
+        want[g, k] = at[g][1]
+    t = spark.createDataFrame(rows, "g int, k long, d date").withColumn("k", F.col("k") + F.when(F.col("g").isNull(), 1000).otherwise(0))
+    got = {x.k: x.family for x in topics.variant_families(t, ["g"], "d", "k").collect()}
+    assert got == {k + (1000 if g is None else 0): (want[g, k] if d else k) + (1000 if g is None else 0) for g, k, d in rows}
+    hot = spark.range(400_000).select(F.lit(1).alias("g"), F.date_add(F.lit(start), (F.col("id") % 700).cast("int")).alias("d"), F.col("id").alias("k"))
+    with within(spark, 60):
+        assert topics.variant_families(hot, ["g"], "d", "k").groupBy("family").count().count() == 2
+
+
+def test_links_of_two_keys_come_once(spark):
+    one = spark.createDataFrame([(1, "d", "t", ["p"], 2000), (2, None, "t", ["q"], 2001)], "id int, doi string, title_key string, authors array<string>, year int")
+    two = spark.createDataFrame([(7, "d", "t", ["z"], 2005), (8, "d", "u", ["p"], 2000), (9, "e", "t", ["p"], 2002)], one.schema)
+    want = {(1, 7, "confirmed"), (1, 8, "review"), (1, 9, "probable"), (2, 7, "review"), (2, 9, "review")}
+    met = identity.cross_links(one, two)
+    assert {(r.a, r.b, r.status) for r in met.collect()} == want and met.count() == 5
+    assert "Aggregate" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert identity.cross_links(one.unionAll(one), two).count() == 5
