@@ -27,10 +27,13 @@ def imprecise_date(day: Column, source: Column, declared: list[str]) -> Column:
 def identifier_lookup(incoming: DataFrame, known: DataFrame, priority: list[str]) -> DataFrame:
     """(record, work): each incoming record's work by its best identifier kind; of equals the smallest work.
 
-    Both sides have kind and value; incoming has record, known has work.
+    Both sides have kind and value; incoming has record, known has work. An
+    identifier that several works have brings its smallest one only, so records
+    are never multiplied.
     """
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("kind"))
-    met = incoming.join(known, ["kind", "value"]).where(rank > 0)
+    smallest = known.where(rank > 0).groupBy("kind", "value").agg(F.min("work").alias("work"))
+    met = incoming.where(rank > 0).join(smallest, ["kind", "value"])
     return met.groupBy("record").agg(F.min(F.struct(rank.alias("rank"), F.col("work"))).alias("best")).select("record", "best.work")
 
 
