@@ -43,10 +43,17 @@ def title_author_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     Blocked where both have publisher DOIs, or both have arXiv ids, and none is
     shared. Columns: record or work, title_key, authors, dois, arxiv_ids.
     """
-    a, b = left.alias("a"), right.alias("b")
+    # Records with the same title, authors' key and identifiers fare alike: the smallest work of each such kind stands for it.
+    ids = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array()))).alias(c)
+    kinds = ["title_key", "author", "dois", "arxiv_ids"]
+    each = lambda d, c: d.where("title_key is not null").select(c, "title_key", F.explode(F.array_distinct("authors")).alias("author"), ids("dois"), ids("arxiv_ids")).where("author is not null")
+    mine = each(left, "record")
+    b = each(right, "work").groupBy(*kinds).agg(F.min("work").alias("work")).alias("b")
+    a = mine.select(*kinds).distinct().alias("a")
     apart = lambda c: (F.size(f"a.{c}") > 0) & (F.size(f"b.{c}") > 0) & ~F.arrays_overlap(f"a.{c}", f"b.{c}")
-    met = a.join(b, F.col("a.title_key") == F.col("b.title_key")).where(F.arrays_overlap("a.authors", "b.authors") & ~apart("dois") & ~apart("arxiv_ids"))
-    return met.groupBy(F.col("a.record").alias("record")).agg(F.min("b.work").alias("work"))
+    met = a.join(b, (F.col("a.title_key") == F.col("b.title_key")) & (F.col("a.author") == F.col("b.author"))).where(~apart("dois") & ~apart("arxiv_ids"))
+    best = met.groupBy(*(F.col(f"a.{c}").alias(c) for c in kinds)).agg(F.min("b.work").alias("work"))
+    return mine.join(best, kinds).groupBy("record").agg(F.min("work").alias("work"))
 
 
 def doi_conflicts(claims: DataFrame) -> DataFrame:
