@@ -1,5 +1,6 @@
 """Work that outgrows one task or one batch: rounds, slices and sums that give what the plain way gives."""
 
+import json
 import random
 import threading
 from contextlib import contextmanager
@@ -94,3 +95,24 @@ def test_links_of_two_keys_come_once(spark):
     assert {(r.a, r.b, r.status) for r in met.collect()} == want and met.count() == 5
     assert "Aggregate" not in met._jdf.queryExecution().optimizedPlan().toString()
     assert identity.cross_links(one.unionAll(one), two).count() == 5
+
+
+def test_recorded_pages_are_read_once(spark, tmp_path, monkeypatch):
+    """A month of 300 refused pages in several files, in any order: no real wait, and each file's rows are decoded once."""
+    import pyarrow.parquet as pq
+
+    from signalweave.sources import collectors
+
+    body = lambda k: json.dumps({"meta": {"count": 300, "next_cursor": None if k == 299 else f"c{k + 1}"}, "results": [{"id": f"https://s.example/W{k}", "publication_date": "2024-01-05"}]})
+    rows = [("2024-01", "*" if k == 0 else f"c{k}", n, 429 if n == 0 else 200, "9", "" if n == 0 else body(k)) for k in range(300) for n in (0, 1)]
+    for part in range(3):
+        some = [r for i, r in enumerate(rows) if i // 2 % 3 == part]
+        spark.createDataFrame(some, "month string, cursor string, attempt int, status int, retry_after string, body string").coalesce(1).write.mode("append").partitionBy("month").parquet(f"{tmp_path}/pages")
+    monkeypatch.setattr(collectors.time, "sleep", lambda seconds: pytest.fail("a recorded page was waited for"))
+    decoded, plain = [], pq.ParquetFile.iter_batches
+    monkeypatch.setattr(pq.ParquetFile, "iter_batches", lambda self, *a, **b: (decoded.append(x.num_rows) or x for x in plain(self, *a, **b)))
+    pages = collectors.RecordedPages(str(tmp_path / "pages"))
+    found = [*collectors.walk(pages, (date(2024, 1, 1), date(2024, 1, 31)))]
+    assert found[-1][0]["complete"] and len(found) == 300 and sum(decoded) == 2 * len(rows)
+    # A page behind is found as well.
+    assert pages.get("2024-01", "c7", 1)[2] == body(7).encode() and pages.get("2024-01", "c7", 0)[0] == 429 and pages.get("2024-01", "c300", 0)[0] == 404 and pages.get("2024-02", "*", 0)[0] == 404
