@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalweave.functions.vectors import dot, unit
@@ -53,17 +54,22 @@ def overlapping(cohorts: DataFrame, overlap: float, scratch: Scratch, name: str
 
     Members are ordered by how many cohorts hold them; two sets that overlap
     enough share one among the first few of each, so only these are joined.
+    Rows hold one member each; what a candidate pair shares is counted.
     """
-    listed = scratch.save(cohorts.select("rank", F.explode(F.array_distinct("members")).alias("m")), f"{name}_each")
+    listed = scratch.save(cohorts.select("rank", F.explode(F.array_distinct("members")).alias("m")).where("m is not null"), f"{name}_each")
     common = listed.groupBy("m").agg(F.count("*").alias("n"))
-    sets = scratch.save(listed.join(common, "m").groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("members")), f"{name}_sets")
-    size = F.size("members")
-    first = sets.withColumn("m", F.explode(F.slice("members", F.lit(1), size - F.ceil(size * overlap).cast("int") + 1)))
+    sizes = scratch.save(listed.groupBy("rank").agg(F.count("*").alias("size")), f"{name}_sizes")
+    # A member that only one cohort has joins nothing.
+    place = F.row_number().over(W.partitionBy("rank").orderBy("n", "m"))
+    placed = listed.join(common, "m").withColumn("place", place).join(sizes, "rank")
+    first = scratch.save(placed.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * overlap) + 1) & (F.col("n") > 1)).select("rank", "m", "size"), f"{name}_first")
     a, b = first.alias("a"), first.alias("b")
-    na, nb = F.size("a.members"), F.size("b.members")
+    na, nb = F.col("a.size"), F.col("b.size")
     met = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.rank") < F.col("b.rank")) & (F.least(na, nb) >= F.greatest(na, nb) * overlap))
-    both = F.size(F.array_intersect("a.members", "b.members"))
-    return met.select(F.col("a.rank").alias("early"), F.col("b.rank").alias("late"), (both / (na + nb - both)).alias("jaccard")).where(F.col("jaccard") >= overlap).distinct()
+    pairs = scratch.save(met.select(F.col("a.rank").alias("early"), F.col("b.rank").alias("late"), na.alias("na"), nb.alias("nb")).distinct(), f"{name}_met")
+    mine, theirs = listed.select(F.col("rank").alias("early"), "m"), listed.select(F.col("rank").alias("late"), "m")
+    both = pairs.join(mine, "early").join(theirs, ["late", "m"]).groupBy("early", "late", "na", "nb").agg(F.count("*").alias("both"))
+    return both.select("early", "late", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= overlap)
 
 
 def independent_terms(suggestions: DataFrame, query: str, n: int) -> DataFrame:

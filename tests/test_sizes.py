@@ -116,3 +116,14 @@ def test_recorded_pages_are_read_once(spark, tmp_path, monkeypatch):
     assert found[-1][0]["complete"] and len(found) == 300 and sum(decoded) == 2 * len(rows)
     # A page behind is found as well.
     assert pages.get("2024-01", "c7", 1)[2] == body(7).encode() and pages.get("2024-01", "c7", 0)[0] == 429 and pages.get("2024-01", "c300", 0)[0] == 404 and pages.get("2024-02", "*", 0)[0] == 404
+
+
+def test_large_cohorts_are_not_copied(spark):
+    """Cohorts of 40,000 members: a row for each of the first members once carried the whole list."""
+    from signalweave.operators import greedy
+
+    some = lambda rank, phrase, least, most: spark.range(1).select(F.lit(rank).cast("long").alias("rank"), F.lit(phrase).alias("phrase"), F.lit(phrase).alias("inflection"), F.sequence(F.lit(least).cast("long"), F.lit(most).cast("long")).alias("members"))
+    t = some(1, "a", 1, 40_000).unionAll(some(2, "b", 1, 36_000)).unionAll(some(3, "c", 20_000, 55_000)).unionAll(some(4, "d", 1, 30_000))
+    with within(spark, 60):
+        got = {r.phrase: (r.representative, r.jaccard) for r in greedy.display_groups(t).collect()}
+    assert got == {"a": ("a", 1.0), "b": ("a", 0.9), "c": ("c", 1.0), "d": ("d", 1.0)}
