@@ -17,10 +17,13 @@ def merge_compositions(found: DataFrame) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
     """Each left candidate's ``k`` right ones by shared works (candidate, works): counts, fractions, Jaccard.
 
-    Works meet on their id; sizes come from the arrays, so nothing is counted twice.
+    Works meet on their id; sizes come from the arrays, so nothing is counted
+    twice. Rows that meet carry keys alone; sizes join what was counted.
     """
-    one = lambda d, c: d.select(F.col("candidate").alias(c), F.size(F.array_distinct("works")).alias(f"n_{c}"), F.explode(F.array_distinct("works")).alias("w"))
-    both = one(left, "a").join(one(right, "b"), "w").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    one = lambda d, c: d.select(F.col("candidate").alias(c), F.explode(F.array_distinct("works")).alias("w"))
+    size = lambda d, c: d.select(F.col("candidate").alias(c), F.size(F.array_distinct("works")).alias(f"n_{c}"))
+    shared = one(left, "a").join(one(right, "b"), "w").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    both = shared.join(size(left, "a"), "a").join(size(right, "b"), "b")
     t = both.withColumns({"of_a": F.col("shared") / F.col("n_a"), "of_b": F.col("shared") / F.col("n_b"), "jaccard": F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))})
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.col("shared").desc(), F.col("jaccard").desc(), "b"))
     return t.withColumn("rank", rank).where(F.col("rank") <= k)

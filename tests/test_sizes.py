@@ -127,3 +127,12 @@ def test_large_cohorts_are_not_copied(spark):
     with within(spark, 60):
         got = {r.phrase: (r.representative, r.jaccard) for r in greedy.display_groups(t).collect()}
     assert got == {"a": ("a", 1.0), "b": ("a", 0.9), "c": ("c", 1.0), "d": ("d", 1.0)}
+
+
+def test_large_compositions_are_sized_once(spark):
+    from signalweave.operators import hybrid
+
+    side = lambda n: spark.range(400_000).groupBy((F.col("id") % n).alias("candidate")).agg(F.collect_list("id").alias("works"))
+    with within(spark, 60):
+        got = {(r.a, r.b): (r.shared, r.n_a, r.n_b) for r in hybrid.overlap_join(side(2), side(3)).collect()}
+    assert len(got) == 6 and got[0, 0] == (66_667, 200_000, 133_334)
