@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ FIELDS = ("key", "title", "doi", "arxiv", "authors", "year")
 
 #: Rows of a component up to which it is folded as one array; larger ones go round by round.
 TOGETHER = 1_000
+#: Rows of a component up to which one task folds it row by row; it holds the component's publications, about 1 KB each.
+IN_TASK = 500_000
 
 
 def _evidence(p: Column, r: Column) -> Column:
@@ -37,7 +42,9 @@ def _evidence(p: Column, r: Column) -> Column:
 def _marks() -> Column:
     """What two previews must share one of to be the same: an identifier, a key or a title."""
     one = lambda letter, c: F.when(F.col(c) != "", F.concat(F.lit(letter), c))
-    return F.array_distinct(F.concat(F.array_compact(F.array(one("d", "doi"), one("k", "key"), one("t", "title"))), F.transform("arxiv", lambda x: F.concat(F.lit("x"), x))))
+    # A key that only repeats a title says nothing of its own.
+    key = F.when(~F.startswith(F.col("key"), F.lit("title:")), one("k", "key"))
+    return F.array_distinct(F.concat(F.array_compact(F.array(one("d", "doi"), key, one("t", "title"))), F.transform("arxiv", lambda x: F.concat(F.lit("x"), x))))
 
 
 def _grown(p: Column, r: Column) -> Column:
@@ -68,6 +75,53 @@ def _folded_together(rows: DataFrame) -> DataFrame:
     return lists.select(F.inline(F.aggregate("rows", start, step, lambda done: done["told"])))
 
 
+def _same(p: dict, r: dict) -> bool:
+    """``_evidence`` of one publication and one row."""
+    shared, strangers = p["authors"] & r["authors"], p["authors"] and r["authors"] and not p["authors"] & r["authors"]
+    if p["arxiv"] and r["arxiv"]:
+        return bool(p["arxiv"] & r["arxiv"])
+    if p["doi"] and p["doi"] == r["doi"]:
+        return p["title"] == r["title"] or not strangers
+    if all(x["doi"] and not x["doi"].startswith(COPY_DOI) for x in (p, r)):
+        return False
+    if p["key"] and p["key"] == r["key"] and not p["key"].startswith("title:"):
+        return True
+    return bool(p["title"] and p["title"] == r["title"] and shared and p["year"] is not None and r["year"] is not None and abs(p["year"] - r["year"]) <= YEARS)
+
+
+def _traces(x: dict) -> list[tuple[str, str]]:
+    """What a row or publication can be found by."""
+    found = [("x", a) for a in x["arxiv"]]
+    found += [(c, x[c]) for c in ("doi", "title") if x[c]]
+    return found if not x["key"] or x["key"].startswith("title:") else [*found, ("key", x["key"])]
+
+
+def _folded_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole components, sorted by component and place, folded one by one; publications are found by their traces."""
+    component, held, by = None, {}, {}
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["component"] != component:
+                component, held, by = r["component"], {}, {}
+            r["arxiv"], r["authors"] = set(r["arxiv"]), set(r["authors"])
+            # A publication's former traces stay; the evidence itself decides, on what it is now.
+            near = sorted({p for t in _traces(r) for p in by.get(t, ())})
+            into = next((p for p in near if _same(held[p], r)), None)
+            if into is None:
+                into = r["place"]
+                held[into] = {c: r[c] for c in FIELDS}
+            else:
+                p = held[into]
+                years = [y for y in (p["year"], r["year"]) if y is not None]
+                longer = len(r["title"]) > len(p["title"])
+                held[into] = {"key": p["key"] if p["doi"] else r["key"], "title": r["title"] if longer else p["title"], "doi": p["doi"] or r["doi"], "arxiv": p["arxiv"] | r["arxiv"], "authors": p["authors"] | r["authors"], "year": min(years, default=None)}
+            for t in _traces(held[into]):
+                by.setdefault(t, {})[into] = None
+            out.append(into)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("place")), pa.array(out, pa.int64())], names=["place", "into"])
+
+
 def _folded_in_rounds(left: DataFrame, scratch: Scratch) -> DataFrame:
     """The same for components of any size: in each round all rows settle that wait for no other.
 
@@ -104,13 +158,14 @@ def _folded_in_rounds(left: DataFrame, scratch: Scratch) -> DataFrame:
     return settled
 
 
-def folded_previews(items: DataFrame, together: int = TOGETHER) -> DataFrame:
+def folded_previews(items: DataFrame, together: int = TOGETHER, in_task: int = IN_TASK) -> DataFrame:
     """(place, into): each preview and the place of the first publication, in order, that it belongs to; often its own.
 
     ``items``: place (unique), key, title, doi, arxiv (array), authors (array), year.
     A publication changes as it takes rows in, so order counts and likeness is
     not transitive. Rows that share marks form components; those of up to
-    ``together`` rows are folded as arrays, larger ones in rounds. Nulls are
+    ``together`` rows are folded as arrays, those of up to ``in_task`` rows in order
+    by one task each, larger ones in rounds. Nulls are
     unknown; rows without marks stand alone.
     """
     scratch = Scratch(items.sparkSession, "previews")
@@ -123,5 +178,8 @@ def folded_previews(items: DataFrame, together: int = TOGETHER) -> DataFrame:
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     blocked = scratch.save(marked.join(parts.join(sizes, "component").withColumnRenamed("node", "place"), "place", "left").withColumn("component", F.coalesce("component", "place")), "blocked")
     small = _folded_together(blocked.where(F.coalesce("n", F.lit(1)) <= together))
-    large = blocked.where(F.col("n") > together)
-    return small.unionByName(_folded_in_rounds(large, scratch)) if large.limit(1).count() else small
+    line = blocked.where((F.col("n") > together) & (F.col("n") <= in_task)).select("component", "place", *FIELDS)
+    line = line.repartition("component").sortWithinPartitions("component", "place").mapInArrow(_folded_in_order, "place long, into long")
+    large = blocked.where(F.col("n") > max(together, in_task))
+    folded = small.unionByName(line)
+    return folded.unionByName(_folded_in_rounds(large, scratch)) if large.limit(1).count() else folded

@@ -136,3 +136,21 @@ def test_large_compositions_are_sized_once(spark):
     with within(spark, 60):
         got = {(r.a, r.b): (r.shared, r.n_a, r.n_b) for r in hybrid.overlap_join(side(2), side(3)).collect()}
     assert len(got) == 6 and got[0, 0] == (66_667, 200_000, 133_334)
+
+
+def test_long_lines_of_previews(spark):
+    """Components over the arrays' bound give in one task what arrays and rounds give, with a line of 3,000 rows."""
+    from signalweave.operators import previews
+
+    kind = "place long, key string, title string, doi string, arxiv array<string>, authors array<string>, year long"
+    r = random.Random(8)
+    some = lambda xs, p: r.choice(xs) if r.random() < p else None
+    rows = [(k, some(["title:a", "k1", "k2"], 0.5), some(["deep nets", "solar", "solar cells", ""], 0.8), some(["10.1/A", "10.1/a", "10.2/b", "10.48550/arXiv.1"], 0.4), some([["x1"], ["x2"], ["x1", "x3"]], 0.3), some([["p"], ["q"], ["p", "s"]], 0.8), some([2000, 2001, 2004, 2009], 0.9)) for k in range(120)]
+    t = spark.createDataFrame(rows, kind).repartition(5)
+    plain = {tuple(x) for x in previews.folded_previews(t).select("place", "into").collect()}
+    assert {tuple(x) for x in previews.folded_previews(t, 3).select("place", "into").collect()} == plain
+    few = t.where("place < 12")
+    assert {tuple(x) for x in previews.folded_previews(few, 2, 2).select("place", "into").collect()} == {(a, b) for a, b in plain if a < 12}
+    line = spark.range(3000).select(F.col("id").alias("place"), F.lit("title:t").alias("key"), F.concat(F.lit("t"), "id").alias("title"), F.lit("10.1/a").alias("doi"), F.array().cast("array<string>").alias("arxiv"), F.array(F.lit("p")).alias("authors"), F.lit(2000).cast("long").alias("year"))
+    with within(spark, 60):
+        assert previews.folded_previews(line, 100).where("into = 0").count() == 3000
