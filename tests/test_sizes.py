@@ -154,3 +154,16 @@ def test_long_lines_of_previews(spark):
     line = spark.range(3000).select(F.col("id").alias("place"), F.lit("title:t").alias("key"), F.concat(F.lit("t"), "id").alias("title"), F.lit("10.1/a").alias("doi"), F.array().cast("array<string>").alias("arxiv"), F.array(F.lit("p")).alias("authors"), F.lit(2000).cast("long").alias("year"))
     with within(spark, 60):
         assert previews.folded_previews(line, 100).where("into = 0").count() == 3000
+
+
+def test_copies_of_a_row_stay_few(spark, monkeypatch):
+    """The blocks of a large group: a row is copied eight times, not once for each 1,024 others, and slices change nothing."""
+    from signalweave.operators import blocks, vectors
+
+    assert blocks.wide(200_000) == 25_000 and blocks.wide(2_000_000) == blocks.WIDE and blocks.wide(100, 16) == 16
+    x = np.random.default_rng(3).normal(size=(3000, 4)).round(1).tolist()
+    t = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k long, v array<double>")
+    plain = {tuple(r) for r in vectors.nearest(t, "k", "v", t, "k", "v", 3, exclude_self=True).collect()}
+    monkeypatch.setattr(vectors, "ANCHORS", 10)
+    monkeypatch.setattr(blocks, "wide", lambda n, block=0: 2000)
+    assert {tuple(r) for r in vectors.nearest(t, "k", "v", t, "k", "v", 3, exclude_self=True).collect()} == plain
